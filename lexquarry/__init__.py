@@ -1,0 +1 @@
+"""Regex search and text-gram analytics on Spark DataFrames."""
