@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexquarry.llm.common import GOLD, components, mix, row_of, shingles, text_slices, written
 
 SLOTS, ROWS, SHINGLE, THRESHOLD = 144, 4, 3, 0.5
+BROADCAST_IDS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -89,10 +90,10 @@ def _sets(batches, k):
     for batch in batches:
         for part in text_slices(batch):
             sh, offsets = shingles(part.column("text"), k)
-            sh = sh.view(np.int64)
+            sh = (sh >> np.uint64(32)).astype(np.uint32).view(np.int32)
             sets = [np.unique(sh[a:b]) for a, b in zip(offsets, offsets[1:])]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "sh"])
 
 
@@ -109,15 +110,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, lo, hi, root, id) of the documents of the buckets that hold documents of different roots."""
+    labelled = buckets.select("bucket", F.explode("ids").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    grouped = labelled.groupBy("bucket").agg(F.collect_list(F.struct("root", "id")).alias("xs"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    apart = written(grouped.where("r1 <> r2").drop("r1", "r2"), "apart")
+    return apart.select("bucket", "lo", "hi", F.explode("xs").alias("x")).select("bucket", "lo", "hi", "x.*")
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of every document in a group of at least two; one row a document.
 
     Two documents are near if the Jaccard similarity of their sets of k-word shingles (letters and digits, lower case) is at
     least `threshold`; groups are the connected parts; group_id is the least doc_id, and only that document has keep.
     Candidates share a band of `rows` of the `slots` SuperMinHash values (at the defaults a pair at the threshold is found with
-    90 %, at 0.6 with 99 %). Documents of the same words are one from the start. In each bucket of a band, first the least and
-    the greatest document are compared with all others, and then all pairs that this leaves in different groups, so that
-    thousands of copies cost no more than their number while no candidate is left out.
+    90 %, at 0.6 with 99 %). Documents of the same words are one from the start. Each document is first compared with the least
+    one of the largest bucket that it is in; then, in buckets that still hold different groups, with the least and the greatest;
+    then all pairs that are in different groups even so: thousands of copies cost no more than their number while no candidate
+    is left out. In the exact comparison, 32-bit hashes stand for shingles.
 
     A null, empty or wordless text is in no group; rows without doc_id are left out; rows that repeat a doc_id are one
     document with all their texts; an empty table gives no rows; other columns are not looked at.
@@ -137,27 +148,30 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
         .where(F.size("ids") > 1).groupBy(F.xxhash64("ids").alias("bucket"), F.size("ids").alias("n")).agg(F.first("ids").alias("ids"))
     )
     buckets = written(buckets, "buckets")
-    members = buckets.select("bucket", F.element_at("ids", 1).alias("lo"), F.element_at("ids", -1).alias("hi"), F.explode("ids").alias("id"))
-    star = (
-        members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
-        .select("p.a", "p.b").where("a < b").distinct()
-    )
-    star = written(star, "star")
-    needed = buckets.select(F.explode("ids").alias("id")).distinct()
+    needed = written(buckets.select(F.explode("ids").alias("id")).distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that the texts are shuffled once
+        needed = F.broadcast(needed)
     one_each = src.join(needed, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = one_each.mapInArrow(lambda it: _sets(it, k), "doc_id long, sh array<long>").where(F.size("sh") > 0)
+    sets = one_each.mapInArrow(lambda it: _sets(it, k), "doc_id long, sh array<int>").where(F.size("sh") > 0)
     sets = written(sets, "sets")
-    edges = written(_verified(star, sets, threshold), "starred")
-    roots = components(edges)
-    # what the stars left apart
-    labelled = buckets.where("n > 2").select("bucket", F.explode("ids").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    apart = written(labelled.groupBy("bucket").agg(F.collect_list(F.struct("root", "id")).alias("xs"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2"), "apart")
-    ids = apart.select("bucket", F.explode("xs").alias("x")).select("bucket", "x.*")
+    # first, each document with the least one of its largest bucket
+    members = buckets.select("bucket", "n", F.element_at("ids", 1).alias("lo"), F.explode("ids").alias("id"))
+    main = members.groupBy("id").agg(F.max(F.struct("n", "bucket", "lo")).alias("m")).select(F.col("m.lo").alias("a"), F.col("id").alias("b")).where("a < b")
+    main = written(main, "main")
+    edges = written(_verified(main, sets, threshold), "near")
+    # then, in buckets that this leaves apart, each with the least and the greatest one
+    ids = _apart(buckets, components(edges))
+    ends = ids.select("id", "lo", "hi")
+    star = ends.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(ends.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
+    star = written(star.join(main, ["a", "b"], "left_anti"), "star")
+    edges = written(edges.union(_verified(star, sets, threshold)), "near")
+    # and then all pairs that are still apart
+    ids = _apart(buckets, components(edges))
     other = ids.select("bucket", F.col("root").alias("root2"), F.col("id").alias("b"))
     rest = (
         ids.withColumnRenamed("id", "a").join(other, "bucket").where("root < root2")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .join(main, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
     )
     groups = written(components(edges.union(_verified(rest, sets, threshold)).union(same)), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").cast("int").alias("group_size"))
