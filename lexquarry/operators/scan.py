@@ -187,3 +187,23 @@ def byte_count(c: Column, byte: int) -> Column:
 
 def _name(c) -> str:
     return c if isinstance(c, str) else c._jc.toString()
+
+
+def grams(docs: DataFrame, table: WeightTable, key: str = "doc_id", content: str = "text", secret: int = 0) -> DataFrame:
+    """(key, start, end, gram, folded): one row for each gram at each of its places, in whole texts, without classification."""
+    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(content).cast("binary"), F.lit(bytearray())).alias("content"))
+    weights = docs.sparkSession.sparkContext.broadcast(np.array(table.weights))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            size = pc.binary_length(b["content"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.maximum(np.cumsum(size) - 1, 0) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)] if len(size) else []
+            for a, z in zip(cuts, cuts[1:]):
+                p = b.slice(a, z - a)
+                off = np.concatenate([[0], np.cumsum(size[a:z])]).astype(np.int64)
+                g = G.extract(np.frombuffer(b"".join(p["content"].to_pylist()), np.uint8), off, weights.value, secret)
+                yield pa.RecordBatch.from_arrays([p["key"].take(pa.array(g.row)), pa.array(g.start.astype(np.int32)), pa.array(g.end.astype(np.int32)), pa.array(g.key.view(np.int64)), pa.array(g.folded)], ["key", "start", "end", "gram", "folded"])
+
+    return src.mapInArrow(run, f"key {kind}, start int, end int, gram long, folded boolean").withColumnRenamed("key", key)
