@@ -97,5 +97,5 @@ def decoded_column(c: Column, encoding: str | None = None) -> Column:
     return (
         F.when(_starts(c, b"\xff\xfe"), F.decode(F.substring(c, F.lit(3), F.octet_length(c)), "UTF-16LE"))
         .when(_starts(c, b"\xfe\xff"), F.decode(F.substring(c, F.lit(3), F.octet_length(c)), "UTF-16BE"))
-        .otherwise(F.decode(without_bom_column(c), "UTF-8"))
+        .otherwise(F.make_valid_utf8(without_bom_column(c).cast("string")))
     )

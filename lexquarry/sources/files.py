@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import content as C
 from lexquarry.functions import paths as P
+from lexquarry.sources import store
 
 
 def walk(
@@ -25,7 +27,7 @@ def walk(
     """(path, content, length, modified, explicit) of the files below root; paths are relative to it. Content is read only if it
     is used, and only of files that the filters leave. ignore: globs in the manner of an ignore file, comments and blank lines
     among them; explicit: paths named by the user, which no filter but the root leaves out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = _with_hidden(spark, root) if hidden else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split("://", 1)[-1].rstrip("/")
     files = files.select(F.regexp_replace("path", F.lit("^[a-z]+:(?://)?" + "".join("\\" + c if not (c.isalnum() or c == "/") else c for c in base) + "/"), F.lit("")).alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
     p = F.col("path")
@@ -50,6 +52,25 @@ def walk(
     return files.withColumn("explicit", named).where(named | keep)
 
 
+def _with_hidden(spark: SparkSession, root: str) -> DataFrame:
+    """Spark's own listing leaves out names that begin with a dot: here Arrow lists, and tasks read."""
+    disk, base = store.opened(root)
+    found = [(x.path, x.mtime, x.size) for x in disk.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File]
+
+    def read(batches):
+        here, _ = store.opened(root)
+        for b in batches:
+            for i in range(b.num_rows):  # a file at a time in memory
+                with here.open_input_stream(b["path"][i].as_py()) as f:
+                    data = f.read()
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row["path"], row["modificationTime"], row["length"], pa.array([data], pa.binary())], ["path", "modificationTime", "length", "content"])
+
+    listed = spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+    out = listed.mapInArrow(read, "path string, modificationTime timestamp, length long, content binary")
+    return out.withColumn("path", F.concat(F.lit("file:" if base.startswith("/") else "x:"), "path"))
+
+
 def paths(files: DataFrame) -> DataFrame:
     """Paths only; no content is read."""
     return files.select("path")
