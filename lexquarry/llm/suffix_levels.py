@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexquarry.llm.common import hash_strings, mix, split_words, text_slices, written
 
 LONG, REACH, BATCHES = 50, 25, 4
+FILTER_KEYS = 16_000_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -91,18 +92,56 @@ def _suffixes(batches, long, reach):
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), part.column("doc_id").take(pa.array(both[:, 0]))], ["key", "doc_id"])
 
 
-def _passages(batches, long, reach):
-    """The passages whose anchor is among `keys`: (fingerprint, doc_id, first word)."""
+class Filter:
+    """A set of keys as a Bloom filter of eight bits a key: tells of every key of the set that it is in, of others seldom."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, np.uint64(8 * len(bits))
+
+    @staticmethod
+    def _places(keys: np.ndarray, size: np.uint64) -> list[np.ndarray]:
+        k = keys.view(np.uint64)
+        return [mix(k + np.uint64(i)) % size for i in (1, 2, 3)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for p in self._places(keys, self.size):
+            out &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, keys: DataFrame, n: int) -> "Filter":
+        """keys: one long column; n of them. Each task sets its bits in an array of its own; the driver joins the arrays."""
+        size = max(1024, n)
+
+        def run(batches):
+            bits = np.zeros(size, np.uint8)
+            for b in batches:
+                for p in cls._places(b.column(0).to_numpy(), np.uint64(8 * size)):
+                    np.bitwise_or.at(bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+        bits = np.zeros(size, np.uint8)
+        for r in keys.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+            bits |= np.frombuffer(r["bits"], np.uint8)
+        return cls(bits)
+
+
+def _passages(batches, long, reach, known=None):
+    """The passages whose anchor is among the row's `keys`, or in the filter: (fingerprint, doc_id, first word)."""
     for batch in batches:
         for part in text_slices(batch, limit=3 << 20):
             words, offsets = _words(part.column("text"))
             _, _, begins, least = anchors(words, offsets, long, reach)
             row = np.searchsorted(offsets, begins, "right") - 1
-            keys = part.column("keys")
-            n = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = mix(keys.flatten().to_numpy().view(np.uint64) ^ np.repeat(mix(np.arange(1, len(n) + 1, dtype=np.uint64)), n))
-            mine = mix(least ^ mix(np.arange(1, len(n) + 1, dtype=np.uint64))[row])
-            hit = np.isin(mine, wanted)
+            if known is not None:
+                hit = known.value.has(least.view(np.int64)) if len(least) else np.zeros(0, bool)
+            else:
+                keys = part.column("keys")
+                n = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+                wanted = mix(keys.flatten().to_numpy().view(np.uint64) ^ np.repeat(mix(np.arange(1, len(n) + 1, dtype=np.uint64)), n))
+                mine = mix(least ^ mix(np.arange(1, len(n) + 1, dtype=np.uint64))[row])
+                hit = np.isin(mine, wanted)
             begins, row = begins[hit], row[hit]
             fp = runs(prefix_hashes(words), long)[begins]
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array((begins - offsets[:-1][row]).astype(np.int32))], ["fp", "doc_id", "start"])
@@ -112,23 +151,32 @@ class Levels:
     """The index family. add() returns the keys that the new batch shares with what is there, or within itself."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []  # (size in batches, suffix array: key, least and greatest doc_id)
+        self.levels: list[tuple[int, DataFrame, bool]] = []  # (size in batches, suffix array: key, lo, hi, is it yet to be written?)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """suffixes: (key, doc_id). A level has each key once, with its least and greatest document, so that thousands of
-        copies are one entry."""
-        array = written(suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).sortWithinPartitions("key"), "level")
-        found = array.where("lo <> hi").select("key")
-        for _, level in self.levels:
-            old = level.select("key", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-            found = found.union(array.join(old, "key").where("least(lo, lo2) <> greatest(hi, hi2)").select("key"))
-        found = written(found.distinct(), "shared")
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, old = self.levels.pop()
-            array = old.union(array).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("key")
-            size *= 2
-        self.levels.append((size, array if size == 1 else written(array, "level")))
+        copies are one entry. One pass over the batch and all levels, brought together by key, does the merge-scan; where levels
+        of the same size merge, it gives their suffix array too, which is written when the next batch comes."""
+        for i, (size, level, merged) in enumerate(self.levels):
+            if merged:
+                self.levels[i] = (size, written(level, "level"), False)
+        rows = suffixes.select("key", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), F.lit(0).alias("age"))
+        size, joins = 1, []
+        for at in range(len(self.levels) - 1, -1, -1):
+            if self.levels[at][0] == size:
+                joins.append(at)
+                size *= 2
+            else:
+                break
+        for at, (_, level, _) in enumerate(self.levels):
+            rows = rows.union(level.select("key", "lo", "hi", F.lit(1 if at in joins else 2).alias("age")))
+        mine = lambda f, c, age: f(F.when(F.col("age") <= age, F.col(c)))
+        scanned = rows.groupBy("key").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("age").alias("age"), mine(F.min, "lo", 1).alias("lo1"), mine(F.max, "hi", 1).alias("hi1")
+        )
+        found = written(scanned.where("age = 0 and lo <> hi").select("key"), "shared")
+        array = scanned.where("age <= 1").select("key", F.col("lo1").alias("lo"), F.col("hi1").alias("hi"))
+        self.levels = [x for at, x in enumerate(self.levels) if at not in joins] + [(size, array.sortWithinPartitions("key"), True)]
         return found
 
 
@@ -151,12 +199,17 @@ def repeats(docs: DataFrame, long: int = LONG, reach: int = REACH, batches: int
     for i in range(batches):
         found = family.add(all_.where(F.col("batch") == i).select("key", "doc_id"))
         shared = found if shared is None else shared.union(found)
-    shared = written(shared.distinct(), "shared")
-    hits = all_.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    hits = written(hits, "hits")
-    passages = src.join(hits, "doc_id").select("doc_id", "text", "keys").mapInArrow(lambda it: _passages(it, long, reach), "fp long, doc_id long, start int")
+    shared = written(shared.distinct(), "keys")
+    n = shared.count()
+    if n <= FILTER_KEYS:  # a byte each; beyond that the texts are joined with their keys
+        known = docs.sparkSession.sparkContext.broadcast(Filter.of(shared, n))
+        passages = src.mapInArrow(lambda it: _passages(it, long, reach, known), "fp long, doc_id long, start int")
+    else:
+        hits = all_.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        passages = src.join(hits, "doc_id").select("doc_id", "text", "keys").mapInArrow(lambda it: _passages(it, long, reach), "fp long, doc_id long, start int")
     same = Window.partitionBy("fp")
-    repeated = passages.distinct().withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("lo <> hi").drop("fp")
+    # one shuffle, by fp, for both steps
+    repeated = passages.repartition("fp").distinct().withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("lo <> hi").drop("fp")
     order = Window.partitionBy("doc_id").orderBy("start", "lo", "hi")
     steps = repeated.withColumn("new", F.when(F.col("start") - F.lag("start").over(order) <= 1, 0).otherwise(1))
     spans = steps.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run").agg(
