@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions.weights import WeightTable
-from lexquarry.operators.scan import KNOWN, SKIPPED, postings, scan, summaries
+from lexquarry.operators.scan import KNOWN, SCHEMA, SKIPPED, postings, scan, summaries
 from lexquarry.operators.search import SearchOptions, search
 from lexquarry.plans.compile import candidates, needles
 from lexquarry.plans.planner import plan_tree
@@ -18,6 +18,7 @@ from lexquarry.plans.tree import Plan
 from lexquarry.sources import store
 
 SCHEMA_VERSION = 1
+SUMMARY_SCHEMA = SCHEMA.rsplit(", keys", 1)[0]
 CEILING_PERCENT, FLOOR_DOCS = 30, 32
 MOST_NEEDLES = 400
 
@@ -37,17 +38,23 @@ class Index:
     table: WeightTable
     meta: dict
 
+    # schemas are known: no job to find them
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"gram long, `{self.key}` {self.meta['kind']}, mask smallint").parquet(f"{self.path}/postings")
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/df")
+        return self.spark.read.schema("gram long, df long").parquet(f"{self.path}/df")
 
     @property
     def summaries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/summaries")
+        return self.spark.read.schema(f"`{self.key}` {self.meta['kind']}, {SUMMARY_SCHEMA}").parquet(f"{self.path}/summaries")
+
+    @property
+    def exceptions(self) -> int:
+        """Documents that are candidates whatever their grams, or kept whole."""
+        return self.meta["forced"] + self.meta["held"]
 
     @property
     def ceiling(self) -> int:
@@ -89,7 +96,7 @@ def build(docs: DataFrame, root: str, table: WeightTable, key: str = "doc_id", t
         F.coalesce(F.sum(F.col("forced").cast("long")), F.lit(0)).alias("forced"), F.coalesce(F.sum(F.col("held").isNotNull().cast("long")), F.lit(0)).alias("held"),
     ).first()
     store.write_text(f"{path}/table.hex", table.to_bytes().hex())
-    store.write_json(f"{path}/meta.json", {"version": SCHEMA_VERSION, "key": key, "text": text, "fingerprint": str(table.fingerprint), **t.asDict()})
+    store.write_json(f"{path}/meta.json", {"version": SCHEMA_VERSION, "key": key, "kind": docs.schema[key].dataType.simpleString(), "text": text, "fingerprint": str(table.fingerprint), **t.asDict()})
     store.write_text(f"{root.rstrip('/')}/CURRENT", name)
     for old in [g for g in store.folders(root) if g.startswith("gen-") and g < name][: -(keep - 1) or None]:
         store.remove(f"{root.rstrip('/')}/{old}")
@@ -105,9 +112,7 @@ def open_index(spark: SparkSession, root: str) -> Index | None:
     meta, table = store.read_json(f"{path}/meta.json"), store.read_text(f"{path}/table.hex")
     if not meta or not table or meta.get("version") != SCHEMA_VERSION:
         return None
-    weights = WeightTable.from_bytes(bytes.fromhex(table))
-    if str(weights.fingerprint) != meta["fingerprint"]:
-        return None
+    weights = WeightTable.from_bytes(bytes.fromhex(table))  # has a checksum of its own
     return Index(spark, path, meta["key"], meta["text"], meta["total"], meta["text_docs"], meta["text_bytes"], int(meta["fingerprint"]), weights, meta)
 
 
@@ -138,7 +143,9 @@ def decide(index: Index | None, o: SearchOptions, force: bool = False) -> Decisi
     tuned = plan.tuned(df, index.text_docs, index.ceiling)
     if not tuned.has_grams():
         return Decision(None, "no gram is rare enough")
-    estimate = min(tuned.estimate(df, index.text_docs) + index.meta["forced"] + index.meta["held"], index.text_docs)
+    if tuned.always_grams() and tuned.estimate(df, index.text_docs) * 8 <= index.ceiling:
+        tuned = tuned.without_needs()  # reading the few candidates costs less than joining their summaries
+    estimate = min(tuned.estimate(df, index.text_docs) + index.exceptions, index.text_docs)
     if not force:
         if estimate > index.ceiling:
             return Decision(None, f"{estimate} of {index.text_docs} documents may match", estimate)
@@ -149,8 +156,8 @@ def decide(index: Index | None, o: SearchOptions, force: bool = False) -> Decisi
 
 def candidate_keys(index: Index, plan: Plan, o: SearchOptions) -> DataFrame:
     """Keys of the documents that may match: those that meet the plan, and held ones."""
-    found = candidates(plan, index.postings, index.summaries, index.key, block=not o.multiline)
-    if plan.op == "none":
+    found = candidates(plan, index.postings, index.summaries, index.key, not o.multiline, bool(index.meta["forced"]))
+    if plan.op == "none" or not index.meta["held"]:
         return found
     return found.union(index.summaries.where(F.col("held").isNotNull()).select(index.key))
 
@@ -164,6 +171,8 @@ def indexed_search(docs: DataFrame, index: Index | None, o: SearchOptions, force
     d = decide(index, o, force)
     if d.reason:
         return search(docs, o, key, text)
+    if d.estimate == 0 and changed is None:  # no document has all that the plan asks for
+        return search(docs.where("false"), o, key, text, docs if o.mode == "files_without_match" or o.include_zero else None)
     keys = candidate_keys(index, d.plan, o)
     if changed is not None:
         keys = keys.join(changed.select(key), key, "left_anti").union(changed.select(key))

@@ -97,9 +97,9 @@ def summary_filter(plan: Plan) -> Column:
     return out
 
 
-def candidates(plan: Plan, postings: DataFrame, summaries: DataFrame, key: str, block: bool = True) -> DataFrame:
+def candidates(plan: Plan, postings: DataFrame, summaries: DataFrame, key: str, block: bool = True, any_forced: bool = True) -> DataFrame:
     """Documents (key) that meet the plan, with the forced ones that meet its needs. One aggregation over the postings of the
-    plan's keys; summaries are joined only for what these can't say."""
+    plan's keys; summaries are joined only for what these can't say. any_forced: are there forced documents at all?"""
     if plan.op == "none":
         return summaries.where("false").select(key)
     found = needles(plan)
@@ -111,11 +111,13 @@ def candidates(plan: Plan, postings: DataFrame, summaries: DataFrame, key: str,
     needs_summary = ["status", "byte_len", "longest_line", "counts", "line_start", "line_end", "prefix", "suffix"]
     if plan.always_grams():
         if not _has_needs(plan):
-            return hits.where(mask_of(plan, found, block).isNotNull()).select(key).union(forced)
+            out = hits.where(mask_of(plan, found, block).isNotNull()).select(key)
+            return out.union(forced) if any_forced else out
         joined = hits.join(summaries.where(~F.col("forced")).select(key, *needs_summary), key)
     else:
         joined = summaries.where(~F.col("forced") & (F.col("status") == KNOWN)).select(key, *needs_summary).join(hits, key, "left")
-    return joined.where(mask_of(plan, found, block).isNotNull()).select(key).union(forced)
+    out = joined.where(mask_of(plan, found, block).isNotNull()).select(key)
+    return out.union(forced) if any_forced else out
 
 
 def _has_needs(plan: Plan) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import content as C
@@ -117,7 +117,7 @@ def _page_paths(spark, d):
 _PATHS = "(SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, strlen(html) AS length FROM pages)"
 register("glob_paths", lambda s, d: _page_paths(s, d).where(P.glob_filter(F.col("path"), ["**/*1*", "!*12*"])).select("page_id"), f"SELECT page_id FROM {_PATHS} WHERE regexp_matches(path, '(^|/)[^/]*1[^/]*(/.*)?$') AND NOT regexp_matches(path, '(^|/)[^/]*12[^/]*(/.*)?$')")
 register("root_restrict", lambda s, d: _page_paths(s, d).where(P.under(F.col("path"), "example.com") | (P.depth(F.col("path")) > 2)).select("page_id"), f"SELECT page_id FROM {_PATHS} WHERE path = 'example.com' OR starts_with(path, 'example.com/') OR len(string_split(path, '/')) > 2")
-register("sort_by_path", lambda s, d: _page_paths(s, d).withColumn("r", F.row_number().over(Window.orderBy(P.path_order(F.col("path")), "page_id"))).select("page_id", "r"), f"SELECT page_id, row_number() OVER (ORDER BY string_split(path, '/'), page_id)::INT AS r FROM {_PATHS}")
+register("sort_by_path", lambda s, d: quotas.running_sum(_page_paths(s, d), F.lit(1), "r", [P.path_order(F.col("path")), F.col("page_id")]).select("page_id", "r"), f"SELECT page_id, row_number() OVER (ORDER BY string_split(path, '/'), page_id) AS r FROM {_PATHS}")
 register("ext_bytes", lambda s, d: bigrams.bytes_by_extension(_page_paths(s, d)), f"SELECT lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)) AS extension, sum(length)::BIGINT AS bytes, count(*) AS files FROM {_PATHS} GROUP BY 1")
 register("max_filesize", lambda s, d: _page_paths(s, d).where(F.col("length") <= 4000).select("page_id"), f"SELECT page_id FROM {_PATHS} WHERE length <= 4000")
 register("nearest_root", lambda s, d: maintain.nearest_root(_page_paths(s, d).select("path").distinct(), _page_paths(s, d).select(F.substring_index("path", "/", 1).alias("root")).distinct()), f"SELECT DISTINCT path, string_split(path, '/')[1] AS root FROM {_PATHS}")
@@ -243,25 +243,26 @@ register("index_postings_by_mask", lambda s, d: the_index(s, d).postings.groupBy
 
 
 def _dirty(spark, d):
-    """The index is of old texts of some documents; their keys are known to have changed."""
+    """The index is of old texts of the German documents; their keys are known to have changed."""
     docs = table(spark, d, "documents")
-    now = docs.withColumn("text", F.when(F.pmod("doc_id", F.lit(10)) == 3, F.concat("text", F.lit(" zzqxpassword"))).otherwise(F.col("text")))
-    changed = docs.where(F.pmod("doc_id", F.lit(10)) == 3).select("doc_id")
+    now = docs.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit(" zzqxpassword"))).otherwise(F.col("text")))
+    changed = docs.where("lang = 'de'").select("doc_id")
     return index.indexed_search(now, the_index(spark, d), S("zzqxpassword", mode=F_), force=True, changed=changed)
 
 
-register("dirty_fold", _dirty, "SELECT doc_id FROM documents WHERE doc_id % 10 = 3")
+register("dirty_fold", _dirty, "SELECT doc_id FROM documents WHERE lang = 'de'")
 
 
 def _manifests(spark, d):
+    """French documents come, Spanish ones go, German ones change."""
     docs = table(spark, d, "documents")
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")
-    old = docs.where("doc_id % 7 <> 1").select(path, F.col("text").alias("c"))
-    new = docs.where("doc_id % 7 <> 2").select(path, F.when(F.col("doc_id") % 7 == 3, F.upper("text")).otherwise(F.col("text")).alias("c"))
+    old = docs.where("lang <> 'fr'").select(path, F.col("text").alias("c"))
+    new = docs.where("lang <> 'es'").select(path, F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text")).alias("c"))
     return maintain.differences(maintain.manifest(old, "path", "c"), maintain.manifest(new, "path", "c"))
 
 
-register("manifest_diff", _manifests, "SELECT * FROM (SELECT source || '/' || doc_id AS path, CASE doc_id % 7 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN CASE WHEN upper(text) <> text THEN 'changed' END END AS change FROM documents) WHERE change IS NOT NULL")
+register("manifest_diff", _manifests, "SELECT * FROM (SELECT source || '/' || doc_id AS path, CASE lang WHEN 'fr' THEN 'added' WHEN 'es' THEN 'removed' WHEN 'de' THEN CASE WHEN upper(text) <> text THEN 'changed' END END AS change FROM documents) WHERE change IS NOT NULL")
 
 # ---------------------------------------------------------------- byte statistics
 _PAIRS = """(SELECT (strpos('0123456789ABCDEF', substr(p, 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(p, 2, 1)) - 1 AS c1, (strpos('0123456789ABCDEF', substr(p, 3, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(p, 4, 1)) - 1 AS c2, n AS cnt
@@ -302,8 +303,8 @@ def _stream_refresh(spark, d):
     """Documents come as a stream of changes into the ledger; the index that is then built answers for all of them."""
     root = store.fresh_path(spark, "stream")
     docs = table(spark, d, "documents")
-    docs.where(F.pmod("doc_id", F.lit(2)) == 0).write.parquet(f"{root}/in/a")
-    docs.where(F.pmod("doc_id", F.lit(2)) == 1).write.parquet(f"{root}/in/b")
+    docs.where("lang = 'en'").write.parquet(f"{root}/in/a")
+    docs.where("lang is null or lang <> 'en'").write.parquet(f"{root}/in/b")
     ledger = maintain.Ledger(spark, f"{root}/dirty", "doc_id")
     changes = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in/*")
     maintain.watch(changes, ledger, f"{root}/checkpoint").awaitTermination()
