@@ -127,7 +127,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, gr
                 row += len(some)
 
         for batch in batches:
-            for p in text_slices(batch, limit=4 << 20):
+            for p in text_slices(batch):
                 ids, offsets = encode(p.column("text"), vocabulary)
                 for d, a, b in zip(p.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
                     if b > a:

@@ -5,7 +5,7 @@ Words are maximal runs of characters other than ASCII white space; a null text h
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- written tables
@@ -72,6 +72,17 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     bounds = [0, *cuts.tolist(), len(sizes)]
     for a, b in zip(bounds, bounds[1:]):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on from stage to stage, and its executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -16,6 +16,7 @@ from lexquarry.llm.common import drop_codes, split_words, text_slices
 BUCKETS = 1 << 16
 CHUNK = 32
 LEXICON = 300
+REMEMBERED = 500_000  # words whose scores a task keeps
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -45,7 +46,7 @@ class Crf:
             if e is None:
                 e = self.weights[features(w, self.lexicon)].sum(axis=0)
                 if memory is not None:
-                    if len(memory) > 500_000:
+                    if len(memory) > REMEMBERED:
                         memory.clear()
                     memory[w] = e
             out[i] = e
@@ -284,7 +285,7 @@ def _label(batches, model: Crf):
     memory: dict = {}
     k = len(model.labels)
     for batch in batches:
-        for part in text_slices(batch, limit=3 << 20):
+        for part in text_slices(batch):
             codes, words, offsets = word_table(part.column("text"))
             emit = model.emissions(words, memory)[codes] if len(codes) else np.zeros((0, k))
             p, _ = forward_backward(emit, offsets, model.transitions, model.start)

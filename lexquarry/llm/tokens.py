@@ -12,6 +12,8 @@ import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexquarry.llm.common import give_back
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
@@ -53,7 +55,7 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
         t = memory.get(p)
         if t is None:
             t = encoding.encode_ordinary(p.decode("utf-8", "replace"))
-            if len(memory) >= 300_000:
+            if len(memory) >= 100_000:
                 memory.clear()
             if len(p) < 64:
                 memory[p] = t
@@ -77,6 +79,7 @@ def count(text: Column, path: str = VOCABULARY) -> Column:
         step = 1000
         for i in range(0, len(t), step):
             sizes.append(np.diff(encode(t.slice(i, step), path)[1]))
+        give_back()
         return pa.array(np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32))
 
     return tokens(text.cast("string"))
