@@ -116,13 +116,24 @@ def normal_words(words: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.replace_substring_regex(words, r"[^\p{L}\p{N}]+", ""))
 
 
-def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k normalised words in order, and each row's offsets. A shorter text that has words is one shingle."""
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all normalised words in order, each row's offsets, and how many words, normalised or not, each row has."""
     codes, words, offsets = split_words(texts)
+    counts = np.diff(offsets)
     normal = normal_words(words)
     empty = pc.equal(normal, "").to_numpy(zero_copy_only=False)
     codes, offsets = drop_codes(codes, offsets, ~empty[codes] if len(codes) else np.zeros(0, bool))
-    h = mix(hash_strings(normal.to_pylist()))[codes] if len(codes) else np.zeros(0, np.uint64)
+    return mix(hash_strings(normal.to_pylist()))[codes] if len(codes) else np.zeros(0, np.uint64), offsets, counts
+
+
+def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k normalised words in order, and each row's offsets. A shorter text that has words is one shingle."""
+    h, offsets, _ = hashed_words(texts)
+    return runs(h, offsets, k)
+
+
+def runs(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of hashed words."""
     n = np.diff(offsets)
     out = np.zeros(len(h), np.uint64)
     for j in range(k):
