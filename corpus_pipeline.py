@@ -24,7 +24,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same number of tokens, as many as the least one has."""
+    """Sources larger than the typical one are tempered, the others stay whole; see mixing.tempered()."""
     return mixing.mixed(docs)
 
 

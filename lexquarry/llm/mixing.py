@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from lexquarry.llm.common import written
 from lexquarry.llm.tokens import VOCABULARY, count
 
+#: production target: what a source has beyond the typical size counts to this power
+TEMPER = 0.7
+
 
 def knapsack(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many of each length to take so that the sum is the greatest that is at most budget. items: (length, how many).
@@ -80,22 +83,45 @@ def budgets(available: dict, weights: dict | None, total: int | None) -> dict:
     return {s: int(total * w / all_) for s, w in weights.items()}
 
 
+def tempered(available: dict, temper: float = TEMPER) -> dict:
+    """The production targets, tokens for each source: a source of up to the typical size gives all it has, a larger one its size
+    over the typical one to the power of `temper`. Typical is the size of the source that the mean token is in, which no small
+    source moves; the total is the sum."""
+    all_ = sum(available.values())
+    typical = sum(n * n for n in available.values()) / all_ if all_ else 0
+    return {s: n if n <= typical else int(typical * (n / typical) ** temper) for s, n in available.items()}
+
+
+def kept(docs: DataFrame, chosen: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(source, n_tokens, kept_tokens, share): what select() kept of each source."""
+    all_ = sizes(docs, vocabulary).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
+    some = chosen.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("k"))
+    k = F.coalesce("k", F.lit(0))
+    return all_.join(some, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n_tokens", k.alias("kept_tokens"), (k / F.col("n_tokens")).alias("share"))
+
+
+def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count(F.col("text"), vocabulary).alias("n"))
+    return rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("n").alias("n_tokens")).where("n_tokens > 0")
+
+
 def select(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents selected; see choose() and budgets(). Within a source and length, those of the
-    least seeded hashes of doc_id are taken.
+    least seeded hashes of doc_id are taken. Without weights and total, the budgets are those of tempered().
 
     Rows that share a doc_id are one document with all their tokens, of their least source. Documents without tokens (null or
     empty texts) are never selected, as they add nothing; rows without doc_id aren't either; null is a source of its own (None
     in weights); an empty table gives no rows; other columns aren't looked at.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count(F.col("text"), vocabulary).alias("n"))
-    sized = written(rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("n").alias("n_tokens")).where("n_tokens > 0"), "sizes")
+    sized = written(sizes(docs, vocabulary), "sizes")
     counts: dict = {}
     for r in sized.groupBy("source", "n_tokens").count().toLocalIterator():  # as many rows as sources have different lengths
         counts.setdefault(r["source"], {})[r["n_tokens"]] = r["count"]
     available = {s: sum(n * c for n, c in x.items()) for s, x in counts.items()}
-    takes = [(s, n, c) for s, b in budgets(available, weights, total).items() for n, c in choose(counts[s], b, seed).items()]
+    given = tempered(available) if weights is None and total is None else budgets(available, weights, total)
+    # a source whose shortest document is longer than its budget gives that one rather than vanish
+    takes = [(s, n, c) for s, b in given.items() if b > 0 for n, c in choose(counts[s], max(b, min(counts[s])), seed).items()]
     schema = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("t_n", T.LongType()), T.StructField("take", T.LongType())])
     take = spark.createDataFrame(takes, schema)
     order = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
