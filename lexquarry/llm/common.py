@@ -6,43 +6,125 @@ Words are maximal runs of characters other than ASCII white space; a null text h
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.sources.store import fresh_path as new_path
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- written tables
-def work_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or in local mode, where it is unset, a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lexquarry-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: later uses neither recompute it nor depend on any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written once to the shared folder and read again: later uses neither recompute it nor depend on any executor. Once it
+    is written, the shuffles that made it are removed."""
+    return _written(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Written tables that go when the context ends, or before by drop(): an operator leaves only what its result is read from."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = _written(df, name)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for _, path in [x for x in self.paths if any(x[0] is t for t in tables)]:
+            delete(self.spark, path)
+        self.paths = [x for x in self.paths if not any(x[0] is t for t in tables)]
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.paths])
+
+
+# ---------------------------------------------------------------- decisions about rows
+class _Here:
+    """Which ids of a file are listed: `parts` are the list's files, sorted by (file, id), with the first and the last file in each.
+
+    A task reads the rows of its own files only, and keeps the last one's.
+    """
+
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts, self.last = parts, (None, None)
+
+    def ids(self, file: int) -> np.ndarray:
+        if self.last[0] != file:
+            found = [np.zeros(0, np.int64)]
+            for path, lo, hi in self.parts:
+                if lo <= file <= hi:
+                    disk, where = fs.FileSystem.from_uri(path)
+                    found.append(pq.read_table(where, filesystem=disk, columns=["id"], filters=[("file", "=", file)])["id"].to_numpy())
+            self.last = (file, np.sort(np.concatenate(found)))
+        return self.last[1]
+
+    def has(self, files: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), bool)
+        for f in np.unique(files):
+            at, listed = np.flatnonzero(files == f), self.ids(int(f))
+            if len(listed):
+                place = np.minimum(np.searchsorted(listed, ids[at]), len(listed) - 1)
+                out[at] = listed[place] == ids[at]
+        return out
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, listed: bool = True) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids (column id), or, if not `listed`, is none of them; a null doc_id is none.
+
+    No text is shuffled or goes through Python at any size. ids are brought together with (file, doc_id) of docs, which is a scan
+    of one column, and are written sorted by the file of docs that they lie in; the task that reads a part of a file then looks
+    up that file's ids. The driver holds one entry a file of this list. Docs that come from no file are joined.
+    """
+    spark = docs.sparkSession
+    file, own = F.xxhash64(F.input_file_name()), docs["doc_id"].cast("long")
+    with Scratch(spark) as tmp:
+        found = tmp.written(docs.select(file.alias("file"), own.alias("id")).where("id is not null").join(ids.select("id").distinct(), "id", "left_semi").select("file", "id"), "found")
+        if not found.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
+            gone = ids.select(F.col("id").alias("__id")).distinct()
+            return docs.join(gone, own == gone["__id"], "left_semi" if listed else "left_anti")
+        where = _written(found.repartitionByRange("file", "id").sortWithinPartitions("file", "id"), "rows")[0]
+    parts = where.groupBy(F.input_file_name().alias("path")).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).collect()
+    here = _Here(sorted((r["path"], r["lo"], r["hi"]) for r in parts))
+
+    @F.arrow_udf("boolean")
+    def stays(files: pa.Array, doc_ids: pa.Array) -> pa.Array:
+        null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        has = here.has(files.to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~null
+        return pa.array(has == listed)
+
+    return docs.where(stays(file, own))
 
 
 # ---------------------------------------------------------------- hashing
@@ -56,9 +138,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_strings(values: list) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(v) for v in values), np.uint64, len(values))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and their inverses modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        m = 1 << max(16, n.bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(m, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.cumprod(x)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all beginnings of a sequence; (of the end - of the begin) * inverse power of the begin is a run's."""
+    up, _ = powers(len(values) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """64 bits of each string, from its bytes."""
+    values = values.cast(pa.large_string())
+    _, raw, data = values.buffers()
+    if data is None or not len(values):
+        return np.zeros(len(values), np.uint64)
+    off = np.frombuffer(raw, np.int64)[values.offset : values.offset + len(values) + 1]
+    prefix = prefix_hashes(_BYTES[np.frombuffer(data, np.uint8)[off[0] : off[-1]]])
+    at = off - off[0]
+    return mix((prefix[at[1:]] - prefix[at[:-1]]) * powers(len(prefix))[1][at[:-1]])
+
+
+def rows_as_bytes(matrix: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value."""
+    matrix = np.ascontiguousarray(matrix)
+    width = matrix.shape[1] * matrix.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(np.arange(0, (len(matrix) + 1) * width, width, dtype=np.int32)), pa.py_buffer(matrix)])
+
+
+def bytes_as_rows(values: pa.Array | pa.ChunkedArray, dtype, width: int) -> np.ndarray:
+    """What rows_as_bytes() made, of `width` numbers a row; no nulls."""
+    parts = []
+    for c in values.chunks if isinstance(values, pa.ChunkedArray) else [values]:
+        size = 8 if pa.types.is_large_binary(c.type) else 4
+        off = np.frombuffer(c.buffers()[1], f"i{size}")[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
+        if off[-1] > off[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return flat.view(dtype).reshape(-1, width)
+
+
+def strings(values: pa.Array) -> list:
+    """to_pylist() of strings or binaries, several times as fast."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 # ---------------------------------------------------------------- words
@@ -123,7 +258,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     normal = normal_words(words)
     empty = pc.equal(normal, "").to_numpy(zero_copy_only=False)
     codes, offsets = drop_codes(codes, offsets, ~empty[codes] if len(codes) else np.zeros(0, bool))
-    return mix(hash_strings(normal.to_pylist()))[codes] if len(codes) else np.zeros(0, np.uint64), offsets, counts
+    return hash_strings(normal)[codes] if len(codes) else np.zeros(0, np.uint64), offsets, counts
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,12 +307,16 @@ def _union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[parent]
 
 
-def components(edges: DataFrame, in_one_task: int = 4_000_000) -> DataFrame:
+_anywhere = written
+
+
+def components(edges: DataFrame, in_one_task: int = 4_000_000, tmp: Scratch | None = None) -> DataFrame:
     """(node, root) of the graph of edges (u, v); root is the least node of the component.
 
     Up to `in_one_task` edges a single task runs union-find. Beyond, large-star and small-star steps contract the graph
-    over the cluster until nothing changes. The result is the same.
+    over the cluster until nothing changes. The result is the same. It is read from tables of `tmp`, if there is one.
     """
+    written = tmp.written if tmp else _anywhere
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     if edges.count() <= in_one_task:
 
@@ -198,7 +337,9 @@ def components(edges: DataFrame, in_one_task: int = 4_000_000) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
+        if tmp:
+            tmp.drop(before)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == last:
             break
