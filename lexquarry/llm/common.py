@@ -18,21 +18,27 @@ from pyspark.sql import functions as F
 from lexquarry.sources.store import fresh_path as new_path
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, TEXTS = 1 << 20, 1000
 
 
 # ---------------------------------------------------------------- written tables
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _written(df: DataFrame, name: str, batch: int | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    path, use = new_path(spark, name), {_CLEAN: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in use}
     try:
+        for k, v in use.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -53,8 +59,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = _written(df, name)
+    def written(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """batch: how many rows Python gets at once; TEXTS of those with texts, which bounds a worker's memory."""
+        table, path = _written(df, name, batch)
         self.paths.append((table, path))
         return table
 
@@ -100,6 +107,22 @@ class _Here:
         return out
 
 
+def _file():
+    return F.xxhash64(F.input_file_name())
+
+
+def _here(docs: DataFrame, ids: DataFrame) -> _Here | None:
+    """Where in docs' files the ids are; None if docs come from no file."""
+    with Scratch(docs.sparkSession) as tmp:
+        own = docs.select(_file().alias("file"), docs["doc_id"].cast("long").alias("id")).where("id is not null")
+        found = tmp.written(own.join(ids.select("id").distinct(), "id", "left_semi").select("file", "id"), "found")
+        if not found.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
+            return None
+        where = written(found.repartitionByRange("file", "id").sortWithinPartitions("file", "id"), "rows")
+    parts = where.groupBy(F.input_file_name().alias("path")).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).collect()
+    return _Here(sorted((r["path"], r["lo"], r["hi"]) for r in parts))
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, listed: bool = True) -> DataFrame:
     """The rows of docs whose doc_id is one of ids (column id), or, if not `listed`, is none of them; a null doc_id is none.
 
@@ -107,16 +130,10 @@ def rows_of(docs: DataFrame, ids: DataFrame, listed: bool = True) -> DataFrame:
     of one column, and are written sorted by the file of docs that they lie in; the task that reads a part of a file then looks
     up that file's ids. The driver holds one entry a file of this list. Docs that come from no file are joined.
     """
-    spark = docs.sparkSession
-    file, own = F.xxhash64(F.input_file_name()), docs["doc_id"].cast("long")
-    with Scratch(spark) as tmp:
-        found = tmp.written(docs.select(file.alias("file"), own.alias("id")).where("id is not null").join(ids.select("id").distinct(), "id", "left_semi").select("file", "id"), "found")
-        if not found.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
-            gone = ids.select(F.col("id").alias("__id")).distinct()
-            return docs.join(gone, own == gone["__id"], "left_semi" if listed else "left_anti")
-        where = _written(found.repartitionByRange("file", "id").sortWithinPartitions("file", "id"), "rows")[0]
-    parts = where.groupBy(F.input_file_name().alias("path")).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).collect()
-    here = _Here(sorted((r["path"], r["lo"], r["hi"]) for r in parts))
+    here, own = _here(docs, ids), docs["doc_id"].cast("long")
+    if here is None:
+        names = ids.select(F.col("id").alias("__id")).distinct()
+        return docs.join(names, own == names["__id"], "left_semi" if listed else "left_anti")
 
     @F.arrow_udf("boolean")
     def stays(files: pa.Array, doc_ids: pa.Array) -> pa.Array:
@@ -124,7 +141,21 @@ def rows_of(docs: DataFrame, ids: DataFrame, listed: bool = True) -> DataFrame:
         has = here.has(files.to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~null
         return pa.array(has == listed)
 
-    return docs.where(stays(file, own))
+    return docs.where(stays(_file(), own))
+
+
+def map_rows_of(docs: DataFrame, ids: DataFrame, function, schema: str) -> DataFrame:
+    """rows_of() of docs (doc_id long, text) and mapInArrow of `function` over them, by one Python worker a task."""
+    here = _here(docs, ids)
+    if here is None:
+        return rows_of(docs, ids).mapInArrow(function, schema)
+
+    def some(batches):
+        for b in batches:
+            has = here.has(b["file"].to_numpy(zero_copy_only=False), b["doc_id"].fill_null(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pc.and_(pa.array(has), b["doc_id"].is_valid())).drop_columns(["file"])
+
+    return docs.select(_file().alias("file"), "doc_id", "text").mapInArrow(lambda it: function(some(it)), schema)
 
 
 # ---------------------------------------------------------------- hashing
@@ -166,10 +197,16 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     _, raw, data = values.buffers()
     if data is None or not len(values):
         return np.zeros(len(values), np.uint64)
-    off = np.frombuffer(raw, np.int64)[values.offset : values.offset + len(values) + 1]
-    prefix = prefix_hashes(_BYTES[np.frombuffer(data, np.uint8)[off[0] : off[-1]]])
-    at = off - off[0]
-    return mix((prefix[at[1:]] - prefix[at[:-1]]) * powers(len(prefix))[1][at[:-1]])
+    off, data = np.frombuffer(raw, np.int64)[values.offset : values.offset + len(values) + 1], np.frombuffer(data, np.uint8)
+    out = np.empty(len(values), np.uint64)
+    cuts = np.searchsorted(off, np.arange(off[0], off[-1], 1 << 18))
+    for lo, hi in zip(cuts, [*cuts[1:], len(values)]):  # parts of some 256 kB bound the tables of powers
+        at = off[lo : hi + 1] - off[lo]
+        prefix = prefix_hashes(_BYTES[data[off[lo] : off[hi]]])
+        out[lo:hi] = mix((prefix[at[1:]] - prefix[at[:-1]]) * powers(len(prefix))[1][at[:-1]])
+    if not len(cuts):
+        out[:] = mix(np.zeros(1, np.uint64))
+    return out
 
 
 def rows_as_bytes(matrix: np.ndarray) -> pa.Array:

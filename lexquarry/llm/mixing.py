@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import written
+from lexquarry.llm.common import rows_of, written
 from lexquarry.llm.tokens import VOCABULARY, count
 
 #: production target: what a source has beyond the typical size counts to this power
 TEMPER = 0.7
+#: tokens that the knapsack distributes, as bits of one number a step
+ROOM = 1 << 20
 
 
 def knapsack(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
@@ -46,7 +48,9 @@ def choose(lengths: dict[int, int], budget: int, seed: int = 0) -> dict[int, int
     """How many documents of each length to take: at most lengths[n], together at most budget and as near to it as can be.
 
     Most of the budget goes to all lengths in proportion, by cumulative rounding, so that the selection keeps the lengths'
-    distribution; the rest is a bounded knapsack over the documents that are left, in seeded order of their lengths.
+    distribution. What is left of it is at most ROOM, after the longest documents that still fit where it was more; it goes to a
+    bounded knapsack over the other documents, in seeded order of their lengths. So the sums that the driver holds are bounded,
+    however long a document is.
     """
     lengths = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     available = sum(n * c for n, c in lengths.items())
@@ -54,7 +58,7 @@ def choose(lengths: dict[int, int], budget: int, seed: int = 0) -> dict[int, int
         return dict(lengths)
     if budget <= 0:
         return {}
-    room = min(budget, 4 * max(n for n in lengths if n <= budget)) if any(n <= budget for n in lengths) else budget
+    room = min(budget, ROOM, 4 * max(n for n in lengths if n <= budget)) if any(n <= budget for n in lengths) else budget
     share, exact, given, out, used = (budget - room) / available, 0.0, 0, {}, 0
     for n in sorted(lengths):
         exact += lengths[n] * share
@@ -63,6 +67,11 @@ def choose(lengths: dict[int, int], budget: int, seed: int = 0) -> dict[int, int
         if take > 0:
             out[n] = take
             used += take * n
+    for n in sorted(lengths, reverse=True):
+        take = min(lengths[n] - out.get(n, 0), (budget - used - ROOM // 2) // n) if budget - used > ROOM else 0
+        if take > 0:
+            out[n] = out.get(n, 0) + take
+            used += take * n
     rest = [(n, c - out.get(n, 0)) for n, c in sorted(lengths.items()) if c > out.get(n, 0) and n <= budget - used]
     random.Random(seed).shuffle(rest)
     for n, c in knapsack(rest, budget - used).items():
@@ -131,6 +140,5 @@ def select(docs: DataFrame, weights: dict | None = None, total: int | None = Non
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that select() selects, all columns as they are."""
-    chosen = written(select(docs, **parameters).select(F.col("doc_id").alias("__chosen")), "chosen")
-    return docs.join(chosen, docs["doc_id"] == chosen["__chosen"], "left_semi")
+    """The rows of docs that select() selects, all columns as they are. Only ids and lengths are shuffled; see rows_of()."""
+    return rows_of(docs, select(docs, **parameters).select(F.col("doc_id").alias("id")))

@@ -7,10 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import GOLD, components, mix, row_of, shingles, text_slices, written
+from lexquarry.llm.common import GOLD, TEXTS, Scratch, components, map_rows_of, mix, row_of, rows_of, shingles, text_slices, written
 
 SLOTS, ROWS, SHINGLE, THRESHOLD = 144, 4, 3, 0.5
-BROADCAST_IDS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -110,13 +109,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, roots: DataFrame, tmp: Scratch) -> DataFrame:
     """(bucket, lo, hi, root, id) of the documents of the buckets that hold documents of different roots."""
-    labelled = buckets.select("bucket", F.explode("ids").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    grouped = labelled.groupBy("bucket").agg(F.collect_list(F.struct("root", "id")).alias("xs"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    apart = written(grouped.where("r1 <> r2").drop("r1", "r2"), "apart")
-    return apart.select("bucket", "lo", "hi", F.explode("xs").alias("x")).select("bucket", "lo", "hi", "x.*")
+    labelled = members.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    labelled = tmp.written(labelled, "labelled")
+    apart = labelled.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
+    out = tmp.written(labelled.join(apart.select("bucket", "lo", "hi"), "bucket").select("bucket", "lo", "hi", "root", "id"), "apart")
+    tmp.drop(labelled)
+    return out
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
@@ -134,51 +134,52 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
     document with all their texts; an empty table gives no rows; other columns are not looked at.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sig = written(src.mapInArrow(lambda it: _band_rows(it, slots, rows, k), "doc_id long, whole long, bands array<long>"), "bands")
-    # distinct texts
-    first = sig.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
-    first = written(first, "firsts")
-    same = (
-        sig.select("whole", "doc_id").join(first.where("doc_id <> last").select("whole", F.col("doc_id").alias("rep")), "whole")
-        .where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    )
-    # buckets: the documents that share a band; bands often have the same ones
-    buckets = (
-        first.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-        .where(F.size("ids") > 1).groupBy(F.xxhash64("ids").alias("bucket"), F.size("ids").alias("n")).agg(F.first("ids").alias("ids"))
-    )
-    buckets = written(buckets, "buckets")
-    needed = written(buckets.select(F.explode("ids").alias("id")).distinct(), "needed")
-    if needed.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that the texts are shuffled once
-        needed = F.broadcast(needed)
-    one_each = src.join(needed, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = one_each.mapInArrow(lambda it: _sets(it, k), "doc_id long, sh array<int>").where(F.size("sh") > 0)
-    sets = written(sets, "sets")
-    # first, each document with the least one of its largest bucket
-    members = buckets.select("bucket", "n", F.element_at("ids", 1).alias("lo"), F.explode("ids").alias("id"))
-    main = members.groupBy("id").agg(F.max(F.struct("n", "bucket", "lo")).alias("m")).select(F.col("m.lo").alias("a"), F.col("id").alias("b")).where("a < b")
-    main = written(main, "main")
-    edges = written(_verified(main, sets, threshold), "near")
-    # then, in buckets that this leaves apart, each with the least and the greatest one
-    ids = _apart(buckets, components(edges))
-    ends = ids.select("id", "lo", "hi")
-    star = ends.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(ends.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    star = written(star.join(main, ["a", "b"], "left_anti"), "star")
-    edges = written(edges.union(_verified(star, sets, threshold)), "near")
-    # and then all pairs that are still apart
-    ids = _apart(buckets, components(edges))
-    other = ids.select("bucket", F.col("root").alias("root2"), F.col("id").alias("b"))
-    rest = (
-        ids.withColumnRenamed("id", "a").join(other, "bucket").where("root < root2")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(main, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
-    )
-    groups = written(components(edges.union(_verified(rest, sets, threshold)).union(same)), "groups")
+    with Scratch(docs.sparkSession) as tmp:
+        sig = tmp.written(src.mapInArrow(lambda it: _band_rows(it, slots, rows, k), "doc_id long, whole long, bands array<long>"), "bands", TEXTS)
+        # distinct texts
+        first = sig.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
+        first = tmp.written(first, "firsts")
+        same = tmp.written(
+            sig.select("whole", "doc_id").join(first.where("doc_id <> last").select("whole", F.col("doc_id").alias("rep")), "whole")
+            .where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")),
+            "same",
+        )
+        tmp.drop(sig)
+        # buckets: the documents that share a band. Bands often have the same ones, told by their number and the sum of their
+        # hashes; one band stands for all of these. Sums are partial before the shuffle, so that no band's documents are one row
+        banded = first.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+        shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x")).where("n > 1")
+        shared = tmp.written(shared.groupBy("n", "x").agg(F.min("band").alias("band")).select("band", "n"), "shared")
+        members = tmp.written(banded.join(shared, "band").select(F.col("band").alias("bucket"), "n", "id"), "members")
+        tmp.drop(first, shared)
+        sets = map_rows_of(src, members.select("id"), lambda it: _sets(it, k), "doc_id long, sh array<int>").where(F.size("sh") > 0)
+        sets = tmp.written(sets, "sets", TEXTS)
+        # first, each document with the least one of its largest bucket
+        least = members.groupBy("bucket").agg(F.min("id").alias("lo"))
+        main = members.groupBy("id").agg(F.max(F.struct("n", "bucket")).alias("m")).select(F.col("m.bucket").alias("bucket"), "id").join(least, "bucket")
+        main = main.select(F.col("lo").alias("a"), F.col("id").alias("b")).where("a < b")
+        main = tmp.written(main, "main")
+        edges = tmp.written(_verified(main, sets, threshold), "near")
+        # then, in buckets that this leaves apart, each with the least and the greatest one
+        ids = _apart(members, components(edges, tmp=tmp), tmp)
+        ends = ids.select("id", "lo", "hi")
+        star = ends.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(ends.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
+        star = tmp.written(star.join(main, ["a", "b"], "left_anti"), "star")
+        edges = tmp.written(edges.union(_verified(star, sets, threshold)), "near")
+        # and then all pairs that are still apart
+        ids = _apart(members, components(edges, tmp=tmp), tmp)
+        other = ids.select("bucket", F.col("root").alias("root2"), F.col("id").alias("b"))
+        rest = (
+            ids.withColumnRenamed("id", "a").join(other, "bucket").where("root < root2")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            .join(main, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+        )
+        groups = written(components(edges.union(_verified(rest, sets, threshold)).union(same), tmp=tmp), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").cast("int").alias("group_size"))
     return groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), "group_size", (F.col("node") == F.col("root")).alias("keep"))
 
 
 def keep_one_each(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without those that near_groups() doesn't keep. Rows without doc_id stay; rows of one doc_id stay or go together."""
-    gone = near_groups(docs, **parameters).where("not keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without those that near_groups() doesn't keep. Rows without doc_id stay; rows of one doc_id stay or go together. Only
+    ids are shuffled; see rows_of()."""
+    return rows_of(docs, near_groups(docs, **parameters).where("not keep").select(F.col("doc_id").alias("id")), listed=False)
