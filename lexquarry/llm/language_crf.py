@@ -7,28 +7,50 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import drop_codes, split_words, text_slices
+from lexquarry.llm.common import GOLD, drop_codes, hash_strings, mix, split_words, strings, text_slices
 
 BUCKETS = 1 << 16
 CHUNK = 32
 LEXICON = 300
-REMEMBERED = 500_000  # words whose scores a task keeps
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word in lower case: affixes to 3 letters, 2- and 3-grams with word ends, rarest letters, lexicon."""
-    w = f"<{word}>"
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += {w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)}
-    names += {f"c{c}" for c in word if c > "\x7f"}
-    entry = lexicon.get(word)
-    if entry is not None:
-        names += [f"lex{entry}", f"word {word}"]
-    return [xxhash.xxh32_intdigest(n) % BUCKETS for n in names]
+def features(words: pa.Array, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, hashed feature) of words in lower case: affixes to 3 letters, 2- and 3-grams with word ends, letters
+    beyond ASCII, lexicon. All words are hashed together, as code points."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    code = np.frombuffer(("<" + "><".join(strings(words)) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.cumsum(n)
+    begin, owner = end - n, np.repeat(np.arange(len(n)), n)
+    place, left = np.arange(len(code)) - begin[owner], end[owner] - np.arange(len(code))
+    bucket = lambda h, kind: (mix(h + np.uint64(kind * int(GOLD) & (1 << 64) - 1)) % np.uint64(BUCKETS)).astype(np.int64)
+    grams, h = [], np.zeros(len(code), np.uint64)
+    out = []
+    for k in (1, 2, 3):
+        h = h.copy()
+        h[: len(code) - k + 1] = h[: len(code) - k + 1] * np.uint64(0x100000001B3) + code[k - 1 :]
+        grams.append(h)
+        if k > 1:
+            at = np.flatnonzero(left >= k)
+            out.append((owner[at], bucket(h[at], k)))
+        long = np.flatnonzero(n >= k + 2)
+        out.append((long, bucket(h[begin[long] + 1], 10 + k)))
+        out.append((long, bucket(h[end[long] - 1 - k], 20 + k)))
+    at = np.flatnonzero((code > 0x7F) & (place > 0))
+    out.append((owner[at], bucket(code[at], 30)))
+    if lexicon:
+        known = list(lexicon)
+        keys, own = hash_strings(pa.array(known, pa.large_string())), hash_strings(words)
+        order = np.argsort(keys)
+        where = order[np.minimum(np.searchsorted(keys, own, sorter=order), len(keys) - 1)]
+        at = np.flatnonzero(keys[where] == own)
+        out += [(at, bucket(np.array([lexicon[w] for w in known], np.uint64)[where[at]], 40)), (at, bucket(own[at], 41))]
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 @dataclass
@@ -39,18 +61,9 @@ class Crf:
     start: np.ndarray
     lexicon: dict[str, int]
 
-    def emissions(self, words: list[str], memory: dict | None = None) -> np.ndarray:
-        out = np.zeros((len(words), len(self.labels)))
-        for i, w in enumerate(words):
-            e = memory.get(w) if memory is not None else None
-            if e is None:
-                e = self.weights[features(w, self.lexicon)].sum(axis=0)
-                if memory is not None:
-                    if len(memory) > REMEMBERED:
-                        memory.clear()
-                    memory[w] = e
-            out[i] = e
-        return out
+    def emissions(self, words: pa.Array | list[str]) -> np.ndarray:
+        word, feature = features(pa.array(words, pa.large_string()) if isinstance(words, list) else words, self.lexicon)
+        return np.stack([np.bincount(word, weights=self.weights[feature, j], minlength=len(words)) for j in range(len(self.labels))], axis=1)
 
 
 def _chunks(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,11 +181,8 @@ def train(texts: list[list[str]], tags: list[list[int]], labels: list[str], roun
         for i in np.argsort(-shares[label], kind="stable")[:LEXICON]:
             if counts[i, label] >= 3 and counts[i, label] > 0.6 * counts[i].sum():
                 lexicon[uniq[i]] = label
-    rows = [features(w, lexicon) for w in uniq]
-    n = np.array([len(r) for r in rows])
-    cols = np.concatenate([np.array(r) for r in rows])
+    owner, cols = features(pa.array(uniq.tolist(), pa.large_string()), lexicon)
     used, cols = np.unique(cols, return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     w, t, s = np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)
     inside = np.ones(len(y), bool)
@@ -182,9 +192,8 @@ def train(texts: list[list[str]], tags: list[list[int]], labels: list[str], roun
     np.add.at(gold_t, (y[right - 1], y[right]), 1)
     gold_s = np.bincount(y[offsets[:-1]], minlength=k)
     moments = [[np.zeros_like(a), np.zeros_like(a)] for a in (w, t, s)]
-    owner = np.repeat(np.arange(len(uniq)), n)
     for step in range(1, rounds + 1):
-        unique_scores = np.add.reduceat(w[cols], starts, axis=0)
+        unique_scores = np.stack([np.bincount(owner, weights=w[cols, j], minlength=len(uniq)) for j in range(k)], axis=1)
         emit = unique_scores[code]
         p, pair = _marginals(emit, offsets, t, s)
         g_unique = np.zeros((len(uniq), k))
@@ -231,7 +240,7 @@ def _marginals(emit, offsets, transitions, start) -> tuple[np.ndarray, np.ndarra
     return p, (q * p[at][:, None, :]).sum(axis=0)
 
 
-def word_table(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def word_table(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes, distinct words and offsets of what the field labels: words' letters in lower case; words without letters are left out."""
     codes, words, offsets = split_words(texts)
     clean = pc.utf8_lower(pc.replace_substring_regex(words, r"^[^\p{L}]+|[^\p{L}]+$", "")) if len(words) else words
@@ -242,23 +251,24 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     d = clean.dictionary_encode() if len(clean) else None
     if d is not None:
         codes = d.indices.to_numpy()[codes] if len(codes) else codes
-        return codes, d.dictionary.to_pylist(), offsets
-    return codes, [], offsets
+        return codes, d.dictionary, offsets
+    return codes, words, offsets
 
 
 def fit(docs: DataFrame, per_label: int = 80, words: int = 150, seed: int = 11) -> Crf | None:
-    """Trains on the texts of the `per_label` least hashes of doc_id of each value of lang, at most `words` words of each text,
-    and on as many code-switched sequences made of pieces of them. Without labelled texts: None."""
-    from pyspark.sql import Window
-
+    """Trains on the texts of the `per_label` least hashes of doc_id of each value of lang, of texts of any length that have a
+    letter, at most `words` words of each text, and on as many code-switched sequences made of pieces of them. These are the
+    bounds of the sample. Without labelled texts: None."""
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and doc_id is not null and length(text) between 40 and 20000").select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_label)
+    ids = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_label)
     wanted = [r["doc_id"] for r in ids.select("doc_id").collect()]
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in docs.where(F.col("doc_id").isin(wanted) & F.col("lang").isNotNull()).select("lang", "doc_id", "text").collect()}) if wanted else []
+    begin = F.array_join(F.slice(F.split(F.trim(F.translate("text", "\t\n\r\f\x0b", "     ")), " +", 2 * words + 1), 1, 2 * words), " ").alias("text")
+    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in docs.where(F.col("doc_id").isin(wanted) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", begin).collect()}) if wanted else []
     if not rows:
         return None
     labels = sorted({r[0] for r in rows})
     codes, uniq, offsets = word_table(pa.array([r[2] for r in rows], pa.large_string()))
+    uniq = strings(uniq)
     texts = [[uniq[c] for c in codes[a : min(b, a + words)]] for a, b in zip(offsets, offsets[1:])]
     pairs = [(t, labels.index(r[0])) for t, r in zip(texts, rows) if t]
     if not pairs:
@@ -282,12 +292,11 @@ SCHEMA = "doc_id long, n_words int, lang_top string, share_top double, confidenc
 
 
 def _label(batches, model: Crf):
-    memory: dict = {}
     k = len(model.labels)
     for batch in batches:
         for part in text_slices(batch):
             codes, words, offsets = word_table(part.column("text"))
-            emit = model.emissions(words, memory)[codes] if len(codes) else np.zeros((0, k))
+            emit = model.emissions(words)[codes] if len(codes) else np.zeros((0, k))
             p, _ = forward_backward(emit, offsets, model.transitions, model.start)
             n = np.diff(offsets)
             sums = np.zeros((len(emit) + 1, k))
@@ -344,22 +353,27 @@ def accepted(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are; only the texts go through Python."""
     model = fit(docs, **parameters)
     if model is None:
-        return docs.where("false")
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def keeps(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
-        out = []
+        out = [np.zeros(0, bool)]
         for r in _label([batch], shared.value):
             ok = pc.and_(pc.greater_equal(r["share_top"], LEAST_SHARE), pc.greater_equal(r["confidence"], LEAST_CONFIDENCE))
-            out += pc.fill_null(ok, False).to_pylist()
-        return pa.array(out, pa.bool_())
+            out.append(pc.fill_null(ok, False).to_numpy(zero_copy_only=False))
+        return pa.array(np.concatenate(out))
 
     return docs.where(keeps(F.col("text").cast("string")))
 
 
 def judge(docs: DataFrame, **parameters) -> DataFrame:
-    """label() by a model trained on docs' own lang, and keep: false for texts that language identification rejects."""
+    """label() by a model trained on docs' own lang, and keep: false for texts that language identification rejects.
+
+    Null, empty and letterless texts are rejected, as are those in none of the languages that lang names. Without any labelled text
+    there is nothing to tell languages by, and all rows are kept.
+    """
+    model = fit(docs, **parameters)
     keep = F.coalesce((F.col("share_top") >= LEAST_SHARE) & (F.col("confidence") >= LEAST_CONFIDENCE), F.lit(False))
-    return label(docs, fit(docs, **parameters)).withColumn("keep", keep)
+    return label(docs, model).withColumn("keep", keep if model else F.lit(True))

@@ -14,28 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import hash_strings, mix, split_words, text_slices, written
+from lexquarry.llm.common import hash_strings, mix, powers, prefix_hashes, split_words, text_slices, written
 
 LONG, REACH, BATCHES = 50, 25, 4
 FILTER_KEYS = 16_000_000
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        m = 1 << max(16, n.bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def prefix_hashes(words: np.ndarray) -> np.ndarray:
-    up, _ = _powers(len(words) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
 
 
 def runs(prefix: np.ndarray, k: int) -> np.ndarray:
@@ -43,7 +25,7 @@ def runs(prefix: np.ndarray, k: int) -> np.ndarray:
     n = len(prefix) - k
     if n <= 0:
         return np.zeros(0, np.uint64)
-    _, down = _powers(len(prefix))
+    _, down = powers(len(prefix))
     return mix((prefix[k:] - prefix[:-k]) * down[:n])
 
 
@@ -78,7 +60,7 @@ def anchors(words: np.ndarray, offsets: np.ndarray, long: int = LONG, reach: int
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, words, offsets = split_words(texts)
-    return mix(hash_strings(words.to_pylist()))[codes] if len(codes) else np.zeros(0, np.uint64), offsets
+    return hash_strings(words)[codes] if len(codes) else np.zeros(0, np.uint64), offsets
 
 
 def _suffixes(batches, long, reach):

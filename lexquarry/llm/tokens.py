@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import give_back
+from lexquarry.llm.common import give_back, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,7 +51,7 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     d = pieces.dictionary_encode()
     encoding, memory = _encoding(path)
     ids = []
-    for p in d.dictionary.to_pylist():
+    for p in strings(d.dictionary):
         t = memory.get(p)
         if t is None:
             t = encoding.encode_ordinary(p.decode("utf-8", "replace"))

@@ -144,7 +144,7 @@ def test_switched_words_are_labelled(spark, data):
         parts = []
         for r in (a, b):
             codes, uniq, _ = language_crf.word_table(pa.array([r.text]))
-            parts.append([uniq[c] for c in codes[:40]])
+            parts.append([uniq[int(c)].as_py() for c in codes[:40]])
         seq, gold = parts[0] + parts[1], [a.lang] * len(parts[0]) + [b.lang] * len(parts[1])
         p, _ = language_crf.forward_backward(model.emissions(seq), np.array([0, len(seq)]), model.transitions, model.start)
         right += sum(model.labels[i] == g for i, g in zip(p.argmax(axis=1), gold))
@@ -162,7 +162,16 @@ def test_odd_texts_are_labelled(documents):
     kept = language_crf.accepted(df, per_label=4)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, r in out.items() if r.keep}
     assert language_crf.judge(df.where("false")).count() == 0 and language_crf.accepted(df.where("false")).count() == 0
-    assert language_crf.judge(df.withColumn("lang", F.lit(None).cast("string"))).where("keep").count() == 0
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language_crf.judge(unlabelled).where("keep").count() == language_crf.accepted(unlabelled).count() == df.count()
+
+
+def test_long_and_short_texts_are_learned_from(spark, make_text):
+    rows = [(i, make_text(i, 5000) if i % 2 else " ".join(f"w\u00e4r{j % 7}e" for j in range(5 + i % 3)), ["de", "en"][i % 2]) for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(len(r[1]) for r in rows) > 20_000 and language_crf.fit(df).labels == ["de", "en"]
+    got = {r.doc_id: r for r in language_crf.judge(df).collect()}
+    assert all(got[i].keep and got[i].lang_top == lang for i, _, lang in rows) and language_crf.accepted(df).count() == 16
 
 
 # ---------------------------------------------------------------- capture index
