@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexquarry.llm import language_crf, mixing, related_packing, secrets, superminhash
-from lexquarry.llm.common import written
+from lexquarry.llm.common import Scratch
+from lexquarry.llm.common import written as written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each over the table that the one before has written; a table goes when the next is there.
+
+    Nulls in any column are kept but where a stage decides on them: a null, empty or letterless text has no language and goes in
+    the first stage; rows without doc_id pass near-duplicates and secrets and go in the mixture, which counts documents; a null
+    source is a source of its own. Rows that share a doc_id are one document. Very long texts are worked on whole. Equal texts are
+    near-duplicates, of which the least doc_id stays. An empty table gives no rows; other columns pass through to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as tmp:
+        before = []
+        for name, stage in STAGES[:-1]:
+            docs = tmp.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            tmp.drop(*before)
+            before = [docs]
+        return STAGES[-1][1](spark, docs, sf_dir)
