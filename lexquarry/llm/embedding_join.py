@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import written
+from lexquarry.llm.common import Scratch, _union_find, bytes_as_rows, components, rows_as_bytes, written
 
 COSINE, BLOCK, GRID = 0.95, 8, 2
+SCALE, SPLIT = 32_767, 8192  # of numbers in 16 bits; rows of a cell that one task compares
 
 
 def rotation(dim: int, covariance: np.ndarray | None = None, seed: int = 3) -> np.ndarray:
@@ -28,53 +31,63 @@ def shares(variance: np.ndarray, block: int) -> list[tuple[int, int, float]]:
     return [(a, b, float(w)) for (a, b), w in zip(parts, weight / weight.sum())]
 
 
-def _half_neighbours(grid: int) -> list[tuple[int, ...]]:
-    """The cell itself and the neighbours after it: each pair of adjoining cells comes once."""
-    cells = np.stack(np.meshgrid(*[[-1, 0, 1]] * grid, indexing="ij"), -1).reshape(-1, grid).tolist()
-    return [tuple(c) for c in cells if tuple(c) >= (0,) * grid]
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def near_pairs(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, grid: int = GRID, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id_a, id_b, cosine): the near-duplicates. Vectors are scaled to length 1.
-
-    Of equal vectors the least id stands for all: each other one is paired with it, cosine 1. Of different vectors, all pairs of
-    these representatives whose cosine is at least `cosine` are given, id_a < id_b. So thousands of copies make no millions of
-    pairs, and none is lost.
-
-    cosine >= c means squared distance <= 2 - 2c. Rotated vectors are cut into blocks, each of which gets its share of the
-    squared distance in proportion to its variance: if the whole is within the budget, one block at least is within its own.
-    For each block a range join on a grid over its first axes (cells as wide as the block's radius, so that only adjoining cells
-    matter) gives the pairs within the block's budget; the union of the blocks' pairs is verified on the whole vectors.
-
-    Null vectors and ids, vectors of length 0, with nulls or NaN, or of another dimension than the most frequent one (of equally
-    frequent ones the least) are left out; repeated rows of one id and vector are one; an id with several vectors is compared by
-    each, never with itself, its best pair counts; an empty table gives no rows; other columns aren't looked at.
-    """
-    src = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    src = src.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    dims = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None or not dims["d"]:
-        return table.sparkSession.createDataFrame([], "id_a long, id_b long, cosine double")
-    dim = dims["d"]
-    src = src.where(F.size("v") == dim)
-
-    def unit(batches):
-        for b in batches:
-            x = _matrix(b["v"], dim)
-            norm = np.sqrt((x * x).sum(axis=1))
-            ok = norm > 0
-            x = x[ok] / norm[ok, None]
-            flat = pa.array(x.ravel())
-            yield pa.RecordBatch.from_arrays([b["id"].filter(pa.array(ok)), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), flat)], ["id", "v"])
-
-    equal = src.groupBy("v").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids"))
-    equal = written(equal, "vectors")
-    copies = equal.where(F.size("ids") > 1).select(F.col("id").alias("id_a"), F.explode("ids").alias("id_b")).where("id_a <> id_b").withColumn("cosine", F.lit(1.0))
-    vectors = written(equal.select("id", "v").mapInArrow(unit, "id long, v array<double>"), "units")
+def _pairs(q: np.ndarray, home: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, parts, limits: np.ndarray):
+    """(i, j, squared distance) of the pairs of a row of `first` and one of `second`, not both guests, whose first block within its
+    limit is the k-th; q: all rows' numbers. Squared distances are sums of integers, whatever the order of rows."""
+    lo, hi, _ = parts[k]
+    y = q[second, lo:hi]
+    sq = (y * y).sum(axis=1)
+    same = first is second
+    for at in range(0, len(first), 1024):
+        rows = first[at : at + 1024]
+        x = q[rows, lo:hi]
+        for to in range(at if same else 0, len(second), 4096):
+            d = (x * x).sum(axis=1)[:, None] + sq[None, to : to + 4096] - 2 * (x @ y[to : to + 4096].T)
+            i, j = np.nonzero(d <= limits[k])
+            if same:
+                i, j = i[at + i < to + j], j[at + i < to + j]
+            i, j = rows[i], second[to + j]
+            ok = home[i] | home[j]
+            i, j = i[ok], j[ok]
+            for cut in range(0, len(i), 1 << 17):
+                x_, y_ = i[cut : cut + (1 << 17)], j[cut : cut + (1 << 17)]
+                diff = q[x_] - q[y_]
+                by = np.stack([(diff[:, a:b] ** 2).sum(axis=1) for a, b, _ in parts], axis=1)
+                ok = (by[:, :k] > limits[:k]).all(axis=1)
+                yield x_[ok], y_[ok], by[ok].sum(axis=1)
+
+
+def _compare(key, table: pa.Table, parts, limits, budget: float, slack: float) -> pa.Table:
+    """What the rows of one cell have in common: (a, b, n). n > 0: vector a has n near ones here; n = 0: ids a and b are near, only
+    as many such pairs as connect what is near; n = -1: vectors a and b are so close to the limit that the whole ones must tell."""
+    k, _, one, two = (x.as_py() for x in key)
+    q = bytes_as_rows(table["q"], np.int16, parts[-1][1]).astype(np.float64)
+    home, node, rep, part = (table[c].to_numpy() for c in ("home", "node", "rep", "part"))
+    first = np.flatnonzero(part == one)
+    links, forest, unsure = np.zeros(len(node), np.int64), np.arange(len(node)), []
+    for i, j, d in _pairs(q, home, first, first if one == two else np.flatnonzero(part == two), k, parts, limits):
+        far = np.sqrt(d) / SCALE
+        near, edge = far + slack <= np.sqrt(budget), far - slack <= np.sqrt(budget)
+        links += np.bincount(np.concatenate([i[near], j[near]]), minlength=len(node))
+        unsure.append(np.stack([node[i[edge & ~near]], node[j[edge & ~near]]]))
+        joined, roots = _union_find(np.concatenate([forest, i[near]]), np.concatenate([np.arange(len(node)), j[near]]))
+        forest = roots
+    some, apart = links > 0, forest != np.arange(len(node))
+    unsure = np.concatenate([np.zeros((2, 0), np.int64), *unsure], axis=1)
+    return pa.table(
+        {
+            "a": np.concatenate([node[some], rep[apart], unsure[0]]), "b": np.concatenate([node[some], rep[forest[apart]], unsure[1]]),
+            "n": np.concatenate([links[some], np.zeros(apart.sum(), np.int64), np.full(unsure.shape[1], -1)]),
+        }
+    )
+
+
+def _near(vectors: DataFrame, dim: int, cosine: float, block: int, grid: int, tmp: Scratch) -> DataFrame | None:
+    """What _compare() finds among vectors (node, rep, v) of length 1 and one dimension, the exact comparisons made."""
 
     def moments(batches):
         n, s, q = 0, np.zeros(dim), np.zeros((dim, dim))
@@ -87,51 +100,93 @@ def near_pairs(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, gri
     for r in vectors.mapInArrow(moments, "n long, s array<double>, q array<double>").toLocalIterator():  # one row a task
         n, s, q = n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]).reshape(dim, dim)
     if n < 2:
-        return copies
-    mean = s / n
-    axes = rotation(dim, q / n - np.outer(mean, mean))
+        return None
+    covariance = q / n - np.outer(s / n, s / n)
+    axes = rotation(dim, covariance)
     budget = 2 - 2 * cosine + 1e-9
-    parts = shares(np.maximum(np.diag(axes.T @ (q / n - np.outer(mean, mean)) @ axes), 0), block)
-    near = _half_neighbours(min(grid, block))
-    g = len(near[0])
+    parts = shares(np.maximum(np.diag(axes.T @ covariance @ axes), 0), block)
+    radius = np.sqrt(budget * np.array([share for _, _, share in parts])) + 1e-3  # of numbers rounded to 1 / SCALE
+    limits, reach = np.floor((radius * SCALE) ** 2), radius + 1e-3
+    slack = 1.01 * np.sqrt(dim) / SCALE + 1e-6
 
     def cells(batches):
         for b in batches:
-            x = (_matrix(b["v"], dim) - mean) @ axes
-            ids = b["id"].to_numpy()
-            for k, (lo, hi, share) in enumerate(parts):
-                y = x[:, lo:hi].astype(np.float32)
-                radius = np.sqrt(budget * share)
-                cell = np.floor(x[:, lo : min(lo + g, hi)] / radius).astype(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, hi - lo, dtype=np.int32)), pa.array(y.ravel()))
-                for step in near:
-                    c = cell + np.array(step[: cell.shape[1]])
-                    home = not any(step)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(ids), pa.int32()), pa.array(["_".join(map(str, r)) for r in c.tolist()]), pa.array([home] * len(ids)), pa.array(ids), flat], ["k", "cell", "home", "id", "y"])
-
-    def join(key, table):
-        share = parts[key[0].as_py()][2]
-        y = np.stack(table["y"].to_pylist()).astype(np.float64) if table.num_rows else np.zeros((0, 1))
-        ids, home = table["id"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
-        hy, hi = y[home], ids[home]
-        sq = (hy * hy).sum(axis=1)
-        out_a, out_b = [], []
-        limit = budget * share + 1e-5
-        for at in range(0, len(y), 1024):
-            x, xi, xh = y[at : at + 1024], ids[at : at + 1024], home[at : at + 1024]
-            for to in range(0, len(hy), 8192):
-                d = (x * x).sum(axis=1)[:, None] + sq[None, to : to + 8192] - 2 * (x @ hy[to : to + 8192].T)
-                i, j = np.nonzero(d <= limit)
-                a, b = xi[i], hi[to + j]
-                ok = (a != b) & (~xh[i] | (a < b))
-                out_a.append(np.minimum(a[ok], b[ok]))
-                out_b.append(np.maximum(a[ok], b[ok]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
-
-    pairs = vectors.mapInArrow(cells, "k int, cell string, home boolean, id long, y array<float>").groupBy("k", "cell").applyInArrow(join, "a long, b long").distinct()
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                x = _matrix(part["v"], dim) @ axes
+                q = rows_as_bytes(np.rint(x * SCALE).astype(np.int16))
+                for k, (lo, hi, _) in enumerate(parts):
+                    y = x[:, lo : min(lo + grid, hi)] / (2 * reach[k])
+                    cell = np.floor(y).astype(np.int64)
+                    side = np.where(y - cell < 0.5, -1, 1)  # the neighbour that is within reach
+                    for step in itertools.product((0, 1), repeat=y.shape[1]):
+                        move = side * np.array(step)
+                        after = np.zeros(len(y), bool)  # a guest of cells that come later: each pair of cells meets in one of them
+                        for axis in range(y.shape[1] - 1, -1, -1):
+                            after = np.where(move[:, axis] == 0, after, move[:, axis] > 0)
+                        rows = np.flatnonzero(after) if any(step) else np.arange(len(y))
+                        names = ((cell + move)[rows] + 32_768) << (16 * np.arange(y.shape[1]))
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), k, np.int32)), pa.array(names.sum(axis=1)), pa.array(np.full(len(rows), not any(step))), part["node"].take(take), part["rep"].take(take), q.take(take)],
+                            ["k", "cell", "home", "node", "rep", "q"],
+                        )
+
+    placed = vectors.mapInArrow(cells, "k int, cell long, home boolean, node long, rep long, q binary")
+    sizes = tmp.written(vectors.mapInArrow(lambda it: (b.drop_columns(["home", "node", "rep", "q"]) for b in cells(it)), "k int, cell long").groupBy("k", "cell").count().where(F.col("count") > SPLIT), "large")
+    if sizes.isEmpty():
+        placed = placed.withColumns({"part": F.lit(0), "one": F.lit(0), "two": F.lit(0)})
+    else:  # each part of a large cell meets each other in a task of its own
+        several = F.coalesce(F.ceil(F.col("count") / SPLIT), F.lit(1)).cast("int")
+        placed = placed.join(sizes, ["k", "cell"], "left").withColumn("parts", several).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")})
+    placed = placed.select("k", "cell", "one", "two", "home", "node", "rep", "part", "q")
+    found = tmp.written(placed.groupBy("k", "cell", "one", "two").applyInArrow(lambda key, table: _compare(key, table, parts, limits, budget, slack), "a long, b long, n long"), "found")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    left, right = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    verified = pairs.join(left, "a").join(right, "b").withColumn("cosine", dot).where(F.col("cosine") >= cosine)
-    verified = verified.groupBy(F.col("a").alias("id_a"), F.col("b").alias("id_b")).agg(F.round(F.max("cosine"), 6).alias("cosine"))
-    return verified.union(copies)
+    left, right = (vectors.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    exact = tmp.written(found.where("n = -1").select("a", "b").join(left, "a").join(right, "b").where(dot >= cosine).select("a", "b", "ra", "rb"), "exact")
+    one = F.lit(1).cast("long")
+    return found.where("n >= 0").union(exact.select("a", "a", one)).union(exact.select("b", "b", one)).union(exact.select("ra", "rb", F.lit(0).cast("long")))
+
+
+def near_classes(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, grid: int = GRID, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, class_id, class_size, n_links, n_copies), one row for each id: its class of near-duplicates, told by its least id,
+    how many different vectors are near to its own (a cosine of at least `cosine`), and how many other ids have an equal vector.
+    Ids without any are a class of their own. Equal vectors are joined as one, and no pairs are listed, so that groups of
+    thousands cost their comparisons alone, while every link between different vectors counts.
+
+    cosine >= c means squared distance <= 2 - 2c of vectors of length 1. Rotated vectors are cut into blocks, each of which gets its
+    share of the squared distance in proportion to its variance: if the whole is within the budget, one block at least is within
+    its own. For each block a range join on a grid over its first axes brings together what may be within the block's budget; a
+    pair is told in the first block where it is, by 16-bit numbers of the whole vectors, and by the whole ones where these can't
+    tell. Cells of more than SPLIT rows are compared part by part, each pair of parts in a task of its own.
+
+    Null vectors and ids, vectors of length 0, with nulls, NaN or infinite numbers are left out. Vectors are compared with those of
+    their dimension. Repeated rows of one id and vector are one; an id with several vectors has the links and copies of each, and
+    is in one class with all of them; an empty table gives no rows; other columns aren't looked at.
+    """
+    src = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    src = src.where("id is not null and v is not null and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    # two hashes stand for a vector; adding 0 makes -0 and 0 one
+    src = src.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumns({"node": F.xxhash64("v"), "second": F.hash("v")})
+    with Scratch(table.sparkSession) as tmp:
+        own = tmp.written(src.select("id", "node", "second").distinct(), "own")
+        firsts = own.groupBy("node", "second").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+        whose = tmp.written(own.join(firsts, ["node", "second"]).select("id", "node", "rep", (F.col("copies") - 1).alias("copies")), "whose")
+        scale = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        units = src.groupBy("node", "second").agg(F.min("id").alias("rep"), F.first("v").alias("v")).select("node", "rep", F.transform("v", lambda x: x / scale).alias("v"))
+        units = tmp.written(units, "units")
+        found = [_near(units.where(F.size("v") == r["d"]), r["d"], cosine, block, grid, tmp) for r in units.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+        edges, links = whose.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), None
+        for f in found:
+            if f is not None:
+                edges = edges.union(f.where("n = 0").select("a", "b"))
+                links = f.where("n > 0").select("a", "n") if links is None else links.union(f.where("n > 0").select("a", "n"))
+        counts = whose.select("id", "copies", F.lit(0).cast("long").alias("n"))
+        if links is not None:
+            counts = counts.union(whose.join(links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "node").select("id", F.lit(0).cast("long"), "n"))
+        counts = written(counts.groupBy("id").agg(F.sum("n").cast("int").alias("n_links"), F.sum("copies").cast("int").alias("n_copies")), "links")
+        classes = written(components(edges, tmp=tmp), "classes")
+    sizes = classes.groupBy("root").agg(F.count("*").cast("int").alias("size"))
+    told = counts.join(classes.join(sizes, "root"), F.col("id") == F.col("node"), "left")
+    return told.select(F.col("id").alias("vec_id"), F.coalesce("root", "id").alias("class_id"), F.coalesce("size", F.lit(1)).alias("class_size"), "n_links", "n_copies")

@@ -18,7 +18,7 @@ def op1_bfd_packing(spark, sf_dir):
 
 
 def op2_embedding_pigeonhole(spark, sf_dir):
-    return embedding_join.near_pairs(_table(spark, sf_dir, "embeddings"))
+    return embedding_join.near_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_superminhash_groups(spark, sf_dir):
@@ -61,12 +61,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WHITE = "[ \\t\\n\\r\\f\\v]+"
 
 OP2_SQL = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
-first AS (SELECT v, min(vec_id) AS id FROM e GROUP BY v),
-u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM first)
-SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.v, b.v), 6) AS cosine
-FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.95
-UNION ALL SELECT f.id, e.vec_id, 1.0 FROM e JOIN first f ON e.v = f.v WHERE e.vec_id <> f.id
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+first AS (SELECT v, min(vec_id) AS id, count(*) AS n FROM e GROUP BY v),
+u AS (SELECT id, n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w, v FROM first),
+near AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id WHERE list_dot_product(a.w, b.w) >= 0.95),
+reach AS (SELECT id, id AS r FROM u UNION SELECT reach.id, near.b FROM reach JOIN near ON reach.r = near.a),
+class AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id),
+size AS (SELECT class_id, sum(n) AS class_size FROM class JOIN u USING (id) GROUP BY class_id),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT e.vec_id, class_id, class_size::INT AS class_size, coalesce(links.n, 0)::INT AS n_links, (u.n - 1)::INT AS n_copies
+FROM e JOIN u ON e.v = u.v JOIN class ON class.id = u.id JOIN size USING (class_id) LEFT JOIN links ON links.a = u.id
 """
 
 _HEX, _ALNUM = "[0-9a-fA-F]", "[0-9a-zA-Z]"

@@ -182,36 +182,41 @@ def test_filter_tells_of_every_key(spark):
 
 
 # ---------------------------------------------------------------- embeddings
-def brute_pairs(rows, cosine):
-    first: dict = {}
-    out, ok = [], []
-    for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        if any(x is None or x != x for x in v) or not any(v) or len(v) != 16:
-            continue
-        k = tuple(v)
-        if k in first:
-            if first[k] != i:
-                out.append((first[k], i, 1.0))
-        else:
-            first[k] = i
-            ok.append((i, np.array(v) / np.linalg.norm(v)))
-    for (i, x), (j, y) in itertools.combinations(ok, 2):
-        if x @ y >= cosine and i != j:
-            out.append((min(i, j), max(i, j), round(float(x @ y), 6)))
-    return sorted(set(out))
-
-
-def test_pairs_equal_brute_force(spark):
+def brute_classes(rows, cosine):
+    """{id: (class, size, links, copies)}; an id with several vectors has those of each."""
+    vectors: dict = {}
+    for i, v in rows:
+        if i is not None and v and not any(x is None or x != x for x in v) and any(v):
+            vectors.setdefault(tuple(v), set()).add(i)
+    unit = {v: np.array(v) / np.linalg.norm(v) for v in vectors}
+    links, edges = dict.fromkeys(vectors, 0), [(min(ids), i) for ids in vectors.values() for i in ids]
+    for x, y in itertools.combinations(vectors, 2):
+        if len(x) == len(y) and unit[x] @ unit[y] >= cosine:
+            links[x] += 1
+            links[y] += 1
+            edges.append((min(vectors[x]), min(vectors[y])))
+    nodes, roots = _union_find(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+    root = dict(zip(nodes.tolist(), roots.tolist()))
+    size = {r: list(root.values()).count(r) for r in root.values()}
+    return {i: (root[i], size[root[i]], sum(links[v] for v in vectors if i in vectors[v]), sum(len(ids) - 1 for ids in vectors.values() if i in ids)) for i in root}
+
+
+@pytest.mark.parametrize("split", [8192, 40])
+def test_classes_equal_brute_force(spark, monkeypatch, split):
+    """Groups of near and of equal vectors, some at the very limit, other dimensions, ids with several vectors, cells in parts."""
+    monkeypatch.setattr(embedding_join, "SPLIT", split)
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 16)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     rows += [(100 + i, (base[i % 20] + rng.normal(scale=s, size=16)).astype(np.float32).tolist()) for i, s in enumerate(np.linspace(0.01, 0.5, 80))]
-    rows += [(300 + i, base[7].tolist()) for i in range(25)] + [(5, base[5].tolist()), (400, None), (None, base[1].tolist()), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [1.0, 2.0]), (404, [])]
-    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<float>, k int, cell string, a int")
-    got = sorted(tuple(r) for r in embedding_join.near_pairs(df).collect())
-    want = brute_pairs(rows, embedding_join.COSINE)
-    assert [g[:2] for g in got] == [w[:2] for w in want] and len(want) > 60
-    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+    rows += [(700 + i, (base[3] + rng.normal(scale=0.1, size=16)).astype(np.float32).tolist()) for i in range(90)]
+    x, y = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    rows += [(600, x.tolist())] + [(601 + i, (np.cos(a) * x + np.sin(a) * y).tolist()) for i, a in enumerate(np.arccos(0.95) + np.linspace(-1e-4, 1e-4, 9) + 1e-6)]
+    rows += [(300 + i, base[7].tolist()) for i in range(25)] + [(5, base[5].tolist()), (5, base[9].tolist()), (400, None), (None, base[1].tolist()), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [1.0, 2.0]), (404, [1.0, 2.1]), (405, [-2.0, 1.0]), (406, [])]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, k int, cell string, a int").repartition(5)
+    got = {r.vec_id: (r.class_id, r.class_size, r.n_links, r.n_copies) for r in embedding_join.near_classes(df).collect()}
+    want = brute_classes(rows, embedding_join.COSINE)
+    assert got == want and sum(w[2] for w in want.values()) > 2000 and max(w[1] for w in want.values()) > 60 and got[403][:3] == (403, 2, 1)
 
 
 def test_budgets_are_shared_in_proportion_and_sum_to_the_whole():
@@ -221,5 +226,6 @@ def test_budgets_are_shared_in_proportion_and_sum_to_the_whole():
 
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert embedding_join.near_pairs(df).count() == 0
-    assert embedding_join.near_pairs(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")).count() == 0
+    assert embedding_join.near_classes(df).count() == 0
+    one = embedding_join.near_classes(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
+    assert [tuple(r) for r in one] == [(1, 1, 1, 0, 0)]
