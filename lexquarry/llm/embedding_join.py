@@ -39,25 +39,28 @@ def _pairs(q: np.ndarray, home: np.ndarray, first: np.ndarray, second: np.ndarra
     """(i, j, squared distance) of the pairs of a row of `first` and one of `second`, not both guests, whose first block within its
     limit is the k-th; q: all rows' numbers. Squared distances are sums of integers, whatever the order of rows."""
     lo, hi, _ = parts[k]
-    y = q[second, lo:hi]
-    sq = (y * y).sum(axis=1)
     same = first is second
-    for at in range(0, len(first), 1024):
-        rows = first[at : at + 1024]
-        x = q[rows, lo:hi]
+    # one product gives |x|^2 + |y|^2 - 2xy; its 32 bits err by less than the margin, and what is left is counted in integers
+    y = (q[second, lo:hi] / SCALE).astype(np.float32)
+    y = np.concatenate([-2 * y, np.ones((len(y), 1), np.float32), (y * y).sum(axis=1, keepdims=True)], axis=1)
+    margin = np.float32(limits[k] / SCALE**2 + 1e-5)
+    for at in range(0, len(first), 512):
+        rows = first[at : at + 512]
+        x = (q[rows, lo:hi] / SCALE).astype(np.float32)
+        x = np.concatenate([x, (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)], axis=1)
         for to in range(at if same else 0, len(second), 4096):
-            d = (x * x).sum(axis=1)[:, None] + sq[None, to : to + 4096] - 2 * (x @ y[to : to + 4096].T)
-            i, j = np.nonzero(d <= limits[k])
+            some = y[to : to + 4096]
+            i, j = np.divmod(np.flatnonzero(x @ some.T <= margin), len(some))
             if same:
                 i, j = i[at + i < to + j], j[at + i < to + j]
             i, j = rows[i], second[to + j]
             ok = home[i] | home[j]
             i, j = i[ok], j[ok]
-            for cut in range(0, len(i), 1 << 17):
-                x_, y_ = i[cut : cut + (1 << 17)], j[cut : cut + (1 << 17)]
-                diff = q[x_] - q[y_]
-                by = np.stack([(diff[:, a:b] ** 2).sum(axis=1) for a, b, _ in parts], axis=1)
-                ok = (by[:, :k] > limits[:k]).all(axis=1)
+            for cut in range(0, len(i), 1 << 15):
+                x_, y_ = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+                diff = q[x_].astype(np.float64) - q[y_]
+                by = np.add.reduceat(diff * diff, [p[0] for p in parts], axis=1)
+                ok = (by[:, :k] > limits[:k]).all(axis=1) & (by[:, k] <= limits[k])
                 yield x_[ok], y_[ok], by[ok].sum(axis=1)
 
 
@@ -65,7 +68,7 @@ def _compare(key, table: pa.Table, parts, limits, budget: float, slack: float) -
     """What the rows of one cell have in common: (a, b, n). n > 0: vector a has n near ones here; n = 0: ids a and b are near, only
     as many such pairs as connect what is near; n = -1: vectors a and b are so close to the limit that the whole ones must tell."""
     k, _, one, two = (x.as_py() for x in key)
-    q = bytes_as_rows(table["q"], np.int16, parts[-1][1]).astype(np.float64)
+    q = bytes_as_rows(table["q"], np.int16, parts[-1][1])
     home, node, rep, part = (table[c].to_numpy() for c in ("home", "node", "rep", "part"))
     first = np.flatnonzero(part == one)
     links, forest, unsure = np.zeros(len(node), np.int64), np.arange(len(node)), []
@@ -74,8 +77,9 @@ def _compare(key, table: pa.Table, parts, limits, budget: float, slack: float) -
         near, edge = far + slack <= np.sqrt(budget), far - slack <= np.sqrt(budget)
         links += np.bincount(np.concatenate([i[near], j[near]]), minlength=len(node))
         unsure.append(np.stack([node[i[edge & ~near]], node[j[edge & ~near]]]))
-        joined, roots = _union_find(np.concatenate([forest, i[near]]), np.concatenate([np.arange(len(node)), j[near]]))
-        forest = roots
+        if near.any():
+            nodes, roots = _union_find(np.concatenate([forest[i[near]], i[near]]), np.concatenate([i[near], j[near]]))
+            forest[nodes] = roots
     some, apart = links > 0, forest != np.arange(len(node))
     unsure = np.concatenate([np.zeros((2, 0), np.int64), *unsure], axis=1)
     return pa.table(
