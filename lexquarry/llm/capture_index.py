@@ -215,7 +215,7 @@ def lookup(urls: DataFrame, directory: DataFrame, index_path: str, warc_path: st
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()))], ["key", "page_id", "target", "n_bytes", "body_md5"])
 
     wanted = urls.select(F.col("url").cast("string").alias("url")).where("url is not null").mapInArrow(keyed, "key string, file string").distinct()
-    return wanted.repartition("file", "key").sortWithinPartitions("file", "key").mapInArrow(read, "key string, page_id long, target string, n_bytes int, body_md5 string")
+    return wanted.repartitionByRange("file", "key").sortWithinPartitions("file", "key").mapInArrow(read, "key string, page_id long, target string, n_bytes int, body_md5 string")
 
 
 def build_and_look_up(pages: DataFrame) -> DataFrame:

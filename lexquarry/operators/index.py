@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions.weights import WeightTable
 from lexquarry.operators.scan import KNOWN, SCHEMA, SKIPPED, postings, scan, summaries
 from lexquarry.operators.search import SearchOptions, search
-from lexquarry.plans.compile import candidates, needles
+from lexquarry.plans.compile import among, candidates, needles
 from lexquarry.plans.planner import plan_tree
 from lexquarry.plans.tree import Plan
 from lexquarry.sources import store
@@ -65,7 +65,7 @@ class Index:
         keys = sorted({int(k) for k in keys})
         if not keys:
             return {}
-        return {r["gram"]: r["df"] for r in self.df.where(F.col("gram").isin(keys)).collect()}
+        return {r["gram"]: r["df"] for r in self.df.where(among("gram", keys)).collect()}
 
     def bytes(self) -> int:
         return store.total_bytes(self.path)
@@ -75,7 +75,7 @@ def build(docs: DataFrame, root: str, table: WeightTable, key: str = "doc_id", t
     """Writes a new generation below root and makes it the current one; of older ones the last `keep` - 1 stay.
 
     The scan is written once; postings are range-partitioned and sorted by key, so that a look-up reads only the row groups whose
-    statistics admit its keys. Readers of the old generation aren't disturbed: the pointer file is moved into place at the end.
+    statistics admit one of its keys (see compile.among()). Readers of the old generation aren't disturbed: the pointer file is moved into place at the end.
     """
     spark = docs.sparkSession
     name = f"gen-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

@@ -109,15 +109,20 @@ def _columns(contents: list, explicit: list, weights: np.ndarray, secret: int, k
     known = status == KNOWN
     f = facts(buf, off)
     g = G.extract(buf, off, weights, secret)
-    row, key, mask = G.collapse(g, G.masks(g, buf, off))
-    per = np.bincount(row, minlength=n)
+    if keep_grams:
+        row, key, mask = G.collapse(g, G.masks(g, buf, off))
+        per = np.bincount(row, minlength=n)
+    else:  # only how many different ones each text has
+        by = np.lexsort((g.key, g.row))
+        new = np.ones(len(by), bool)
+        new[1:] = (np.diff(g.row[by]) != 0) | (g.key[by][1:] != g.key[by][:-1])
+        per = np.bincount(g.row[by][new], minlength=n)
+        row, key, mask = g.row[:0], g.key[:0], np.zeros(0, np.uint16)
     dense = np.array([C.is_high_entropy(int(s), int(p)) for s, p in zip(f["byte_len"], per)], bool) if n else np.zeros(0, bool)
     forced = np.array([k[1] for k in kinds], bool) | dense
     if dense.any():
         ok = ~dense[row]
         row, key, mask = row[ok], key[ok], mask[ok]
-    if not keep_grams:
-        row, key, mask = row[:0], key[:0], mask[:0]
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
     ints = lambda name, t: pa.array(f[name].astype(t), mask=~known)
     return [

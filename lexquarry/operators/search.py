@@ -97,7 +97,7 @@ class SearchOptions:
 
 
 def _lines(docs: DataFrame, o: SearchOptions, key: str, text: str) -> DataFrame:
-    return L.explode_lines(docs, text, [key], "\0" if o.null_data else "\n")
+    return L.explode_lines(docs, text, [key], "\0" if o.null_data else "\n", offsets=o.byte_offset)
 
 
 def _hit(o: SearchOptions, java: str, c: Column) -> Column:
@@ -159,7 +159,7 @@ def search(docs: DataFrame, o: SearchOptions, key: str = "doc_id", text: str = "
         elif simple and o.max_count is None:
             counts = docs.select(key, L.match_count(t, java).alias("n"))
         else:
-            hits = _limited(_lines(docs, o, key, text), o, java, key)
+            hits = _limited(docs, o, java, key, text)
             n = F.count("*") if o.mode == "count" or o.invert else F.sum(F.regexp_count("line", F.lit(java)).cast("long"))
             counts = hits.groupBy(key).agg(n.cast("long").alias("n"))
         if o.include_zero:
@@ -167,9 +167,12 @@ def search(docs: DataFrame, o: SearchOptions, key: str = "doc_id", text: str = "
                 return counts
             return whole.select(key).join(counts, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
         return counts.where("n > 0")
+    if not o.invert and o.mode in ("lines", "only_matching", "vimgrep", "json") and (o.byte_offset or o.before or o.after):
+        docs = docs.where(_any(o, java, t))  # other texts have no row in the result
+    if o.mode == "lines" and (o.before or o.after):
+        out = L.context(docs, key, text, lambda x: _hit(o, java, x), o.before, o.after, "\0" if o.null_data else "\n")
+        return out.select(key, "line_no", "is_match", "block", F.when(F.col("is_match"), _shown(o, java, F.col("line"))).otherwise(F.col("line")).alias("line"))
     rows = _lines(docs, o, key, text)
-    if o.byte_offset:
-        rows = L.with_line_offsets(rows, key)
     hit = _hit(o, java, F.col("line"))
     if o.mode == "stats":
         each = rows.where(hit)
@@ -179,10 +182,7 @@ def search(docs: DataFrame, o: SearchOptions, key: str = "doc_id", text: str = "
         return found.crossJoin(total)  # one row each
     if o.mode == "passthru":
         return rows.select(key, "line_no", hit.alias("is_match"), F.when(hit, _shown(o, java, F.col("line"))).otherwise(F.col("line")).alias("line"))
-    if o.mode == "lines" and (o.before or o.after):
-        out = L.context(rows, key, hit, o.before, o.after)
-        return out.select(key, "line_no", "is_match", "block", F.when(F.col("is_match"), _shown(o, java, F.col("line"))).otherwise(F.col("line")).alias("line"))
-    rows = _limited(rows, o, java, key)
+    rows = _limited(docs, o, java, key, text)
     if o.mode in ("only_matching", "vimgrep"):
         return _each_match(rows, o, java, key)
     extra = ([L.match_column(F.col("line"), java).cast("long").alias("col")] if o.column else []) + ([F.col("byte_offset")] if o.byte_offset else [])
@@ -200,16 +200,23 @@ def _any(o: SearchOptions, java: str, t: Column) -> Column:
     return L.any_line_matches(t, java, o.invert)
 
 
-def _limited(rows: DataFrame, o: SearchOptions, java: str, key: str) -> DataFrame:
-    hit = _hit(o, java, F.col("line"))
-    out = L.until_nonmatch(rows, key, hit) if o.stop_on_nonmatch else rows.where(hit)
+def _limited(docs: DataFrame, o: SearchOptions, java: str, key: str, text: str) -> DataFrame:
+    keep = (lambda lines: L.until_nonmatch(lines, lambda x: _hit(o, java, x))) if o.stop_on_nonmatch else None
+    out = L.explode_lines(docs, text, [key], "\0" if o.null_data else "\n", offsets=o.byte_offset, keep_lines=keep).where(_hit(o, java, F.col("line")))
     return L.first_matches(out, key, o.max_count) if o.max_count is not None else out
 
 
+def _gaps(c: Column, java: str) -> Column:
+    """What lies before, between and after the matches. The mark that stands for a match is in no text: a record separator, or, where
+    the text has one, a text's own hash between two, which it can't hold."""
+    mark = F.when(F.contains(c, F.lit("\x1e")), F.concat(F.lit("\x1e"), F.sha2(c, 256), F.lit("\x1e"))).otherwise(F.lit("\x1e"))
+    return F.split(F.regexp_replace(c, F.lit(f"(?:{java})"), mark), mark, -1)
+
+
 def _each_match(rows: DataFrame, o: SearchOptions, java: str, key: str) -> DataFrame:
     """One row a match, with its number in the line, and the byte at which it begins."""
     ms = F.regexp_extract_all("line", F.lit(java), F.lit(0))
-    pieces = F.split(F.regexp_replace("line", F.lit(f"(?:{java})"), F.lit("\x1e")), "\x1e", -1)
+    pieces = _gaps(F.col("line"), java)
     step = rows.withColumn("ms", ms).withColumn("gaps", pieces)
     # bytes before the i-th match: the gaps and the matches before it
     step = step.withColumn("m", F.explode(F.expr(
@@ -246,7 +253,7 @@ def _multiline(docs: DataFrame, o: SearchOptions, java: str, key: str, text: str
         return counts.where("n > 0")
     # rows: each match with the line at which it begins
     found = docs.where(hit).select(key, t.alias("t")).withColumn("ms", F.regexp_extract_all("t", F.lit(java), F.lit(0)))
-    found = found.withColumn("gaps", F.split(F.regexp_replace("t", F.lit(f"(?:{java})"), F.lit("\x1e")), "\x1e", -1))
+    found = found.withColumn("gaps", _gaps(F.col("t"), java))
     found = found.select(key, F.explode(F.expr("transform(sequence(1, size(ms)), i -> struct(ms[i - 1] as match, concat(array_join(slice(gaps, 1, i), ''), array_join(slice(ms, 1, i - 1), '')) as before, gaps[i - 1] as gap))")).alias("m"))
     feeds = F.length("m.before") - F.length(F.replace(F.col("m.before"), F.lit("\n"), F.lit("")))
     out = found.where("m.match <> ''").select(key, (feeds + 1).cast("int").alias("line_no"), (F.octet_length("m.before")).cast("long").alias("byte_offset"), F.col("m.match").alias("match"))

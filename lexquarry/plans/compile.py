@@ -107,7 +107,7 @@ def candidates(plan: Plan, postings: DataFrame, summaries: DataFrame, key: str,
     if not found:
         return summaries.where((F.col("status") != SKIPPED) & (F.col("forced") | (summary_filter(plan) & (F.col("status") == KNOWN)))).select(key)
     keys = sorted({int(k) for n in found for k in n.keys})
-    hits = postings.where(F.col("gram").isin(keys)).groupBy(key).agg(*mask_columns(found))
+    hits = postings.where(among("gram", keys)).groupBy(key).agg(*mask_columns(found))
     needs_summary = ["status", "byte_len", "longest_line", "counts", "line_start", "line_end", "prefix", "suffix"]
     if plan.always_grams():
         if not _has_needs(plan):
@@ -120,5 +120,14 @@ def candidates(plan: Plan, postings: DataFrame, summaries: DataFrame, key: str,
     return out.union(forced) if any_forced else out
 
 
+def among(column: str, keys: list[int]) -> Column:
+    """Is the column one of the keys? In tens, as Spark's reader of Parquet tells row groups by each of up to ten values, but of more
+    only by the least and the greatest."""
+    parts = [F.col(column).isin(keys[i : i + 10]) for i in range(0, len(keys), 10)] or [F.lit(False)]
+    while len(parts) > 1:  # a balanced tree: conditions are walked by recursion
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def _has_needs(plan: Plan) -> bool:
     return bool(plan.needs) or any(_has_needs(s) for s in plan.subs)

@@ -123,7 +123,7 @@ def test_index_finds_what_a_scan_finds(indexed, force):
         for extra in ({}, {"word": True}, {"ignore_case": True}, {"multiline": True}, {"crlf": True}):
             o = S(p, mode="files_with_matches", **extra)
             d = index.decide(ix, o, force)
-            if force and not extra or d.reason is None and not force and not extra:
+            if force or not extra and d.reason is None:
                 used += d.reason is None
                 assert {r[0] for r in index.indexed_search(docs, ix, o, force).collect()} == {r[0] for r in search(docs, o).collect()}, (p, extra)
     assert used >= 5
@@ -162,3 +162,45 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     ix = index.build(docs, str(tmp_path / "i"), WeightTable.synthetic())
     assert index.indexed_search(docs, ix, S("abc", mode="count"), True).count() == 0 and search(docs, S("abc")).count() == 0
+
+
+def test_columns_where_texts_hold_record_separators(spark):
+    """Byte columns and offsets by Python's own regex, for texts that hold what stands for a match inside."""
+    import re
+
+    texts = ["a\x1eb 12 cc 34\n\x1e\x1e7", "12\x1e", "no \x1e digit", "plain 5 and 67\nü 8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((d, n, len(line[: m.start()].encode()) + 1, m[0]) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) for m in re.finditer("[0-9]+", line))
+    got = search(df, S("[0-9]+", mode="only_matching")).collect()
+    assert sorted((r.doc_id, r.line_no, r.col, r.match) for r in got) == want
+    assert sorted((r.doc_id, r.line_no, r.col) for r in search(df, S("[0-9]+", mode="vimgrep")).collect()) == [w[:3] for w in want]
+    offsets = sorted((d, len(t[: m.start()].encode())) for d, t in enumerate(texts) for m in re.finditer("[0-9]+", t))
+    assert sorted((r.doc_id, r.byte_offset) for r in search(df, S("[0-9]+", mode="only_matching", byte_offset=True)).collect()) == offsets
+    assert sorted((r.doc_id, r.byte_offset) for r in search(df, S("[0-9]+", mode="lines", multiline=True)).collect()) == offsets
+
+
+def test_context_offsets_and_stop_move_no_line(spark, capsys):
+    df = spark.createDataFrame([(1, "a\nx\nb\nc\nd\nx\nx\ne"), (2, "q"), (3, None), (4, "x"), (5, "x\n\nx\n")], "doc_id long, text string")
+    found = search(df, S("x", before=1, after=1))
+    assert sorted(map(tuple, found.select("doc_id", "line_no", "line", "is_match", "block").collect())) == sorted(
+        [(1, 1, "a", False, 1), (1, 2, "x", True, 1), (1, 3, "b", False, 1), (1, 5, "d", False, 2), (1, 6, "x", True, 2), (1, 7, "x", True, 2), (1, 8, "e", False, 2), (4, 1, "x", True, 1), (5, 1, "x", True, 1), (5, 2, "", False, 1), (5, 3, "x", True, 1)]
+    )
+    offset = search(df, S("x", byte_offset=True))
+    assert sorted((r.doc_id, r.byte_offset) for r in offset.collect()) == [(1, 2), (1, 10), (1, 12), (4, 0), (5, 0), (5, 3)]
+    stop = search(df, S("x", stop_on_nonmatch=True))
+    assert sorted((r.doc_id, r.line_no) for r in stop.collect()) == [(1, 2), (4, 1), (5, 1)]
+    for plan in (found, offset, stop):
+        plan.explain()
+        assert "Exchange" not in capsys.readouterr().out
+
+
+def test_lookups_of_many_keys_name_each_key(spark, tmp_path, capsys):
+    from lexquarry.plans.compile import among
+
+    spark.range(2000).selectExpr("id as gram").write.parquet(str(tmp_path / "p"))
+    keys = list(range(0, 1000, 40))
+    found = spark.read.parquet(str(tmp_path / "p")).where(among("gram", keys))
+    found.explain("formatted")
+    shown = capsys.readouterr().out
+    assert shown.count("In(gram") >= 3 or shown.count("In(") >= 3
+    assert sorted(r.gram for r in found.collect()) == keys and spark.range(5).withColumnRenamed("id", "gram").where(among("gram", [])).count() == 0
