@@ -1,23 +1,22 @@
-"""Near-duplicate embeddings by a subspace pigeonhole join: rotated vectors, low-dimensional blocks, exact verification."""
+"""Near-duplicate embeddings: rotated vectors in tiles of a tree, low-dimensional distances first, exact verification."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.common import Scratch, _union_find, bytes_as_rows, components, rows_as_bytes, written
 
-COSINE, BLOCK, GRID = 0.95, 8, 2
-SCALE, SPLIT = 32_767, 8192  # of numbers in 16 bits; rows of a cell that one task compares
+COSINE, BLOCK = 0.95, 8
+SCALE, SPLIT, MODEL, APART = 32_767, 8192, 1 << 21, 5  # of numbers in 16 bits; rows of a tile; numbers of the sample; see _near()
 
 
 def rotation(dim: int, covariance: np.ndarray | None = None, seed: int = 3) -> np.ndarray:
-    """An orthogonal matrix: the principal axes, dealt to the blocks in turn so that each block gets strong and weak ones; without
-    a covariance a seeded random one."""
+    """An orthogonal matrix: the principal axes, the strongest first; without a covariance a seeded random one."""
     if covariance is None:
         return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
     _, axes = np.linalg.eigh(covariance)
@@ -31,156 +30,204 @@ def shares(variance: np.ndarray, block: int) -> list[tuple[int, int, float]]:
     return [(a, b, float(w)) for (a, b), w in zip(parts, weight / weight.sum())]
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors, scaled to length 1."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * SCALE).astype(np.int16)
+
+
+def _tree(q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and threshold of a complete tree's nodes, root at 1: each halves its part of a sample where that is the widest."""
+    axis, cut = np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
+    todo = [(1, np.arange(len(q)))]
+    while todo:
+        node, at = todo.pop()
+        if node < len(axis) and len(at) > 1:
+            axis[node] = np.argmax(q[at].astype(np.float32).var(axis=0))
+            y = q[at, axis[node]]
+            cut[node] = np.median(y)
+            todo += [(2 * node, at[y < cut[node]]), (2 * node + 1, at[y >= cut[node]])]
+    return axis, cut
+
+
+def _leaf(q: np.ndarray, axis: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    node, rows = np.ones(len(q), np.int64), np.arange(len(q))
+    for _ in range(len(axis).bit_length() - 1):
+        node = 2 * node + (q[rows, axis[node]] >= cut[node])
+    return node - len(axis)
 
 
-def _pairs(q: np.ndarray, home: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, parts, limits: np.ndarray):
-    """(i, j, squared distance) of the pairs of a row of `first` and one of `second`, not both guests, whose first block within its
-    limit is the k-th; q: all rows' numbers. Squared distances are sums of integers, whatever the order of rows."""
-    lo, hi, _ = parts[k]
-    same = first is second
+def _boxes(axis: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest numbers that a leaf may have, on the axes that the tree cuts."""
+    used, place = np.unique(axis[1:], return_inverse=True)
+    lo = np.full((2 * len(axis), len(used)), -np.inf, np.float32)
+    hi = -lo
+    for node in range(1, len(axis)):
+        lo[2 * node : 2 * node + 2], hi[2 * node : 2 * node + 2] = lo[node], hi[node]
+        hi[2 * node, place[node - 1]] = lo[2 * node + 1, place[node - 1]] = cut[node]
+    return lo[len(axis) :], hi[len(axis) :]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, prefix: int, limit: float):
+    """(i, j, squared distance) of the rows i of x and j of y within `limit`, i < j if they are one table. Numbers are 16-bit and
+    sums of integers, whatever the order of rows. Most pairs are told by their first `prefix` numbers."""
     # one product gives |x|^2 + |y|^2 - 2xy; its 32 bits err by less than the margin, and what is left is counted in integers
-    y = (q[second, lo:hi] / SCALE).astype(np.float32)
-    y = np.concatenate([-2 * y, np.ones((len(y), 1), np.float32), (y * y).sum(axis=1, keepdims=True)], axis=1)
-    margin = np.float32(limits[k] / SCALE**2 + 1e-5)
-    for at in range(0, len(first), 512):
-        rows = first[at : at + 512]
-        x = (q[rows, lo:hi] / SCALE).astype(np.float32)
-        x = np.concatenate([x, (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)], axis=1)
-        for to in range(at if same else 0, len(second), 4096):
-            some = y[to : to + 4096]
-            i, j = np.divmod(np.flatnonzero(x @ some.T <= margin), len(some))
-            if same:
-                i, j = i[at + i < to + j], j[at + i < to + j]
-            i, j = rows[i], second[to + j]
-            ok = home[i] | home[j]
-            i, j = i[ok], j[ok]
-            for cut in range(0, len(i), 1 << 15):
-                x_, y_ = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
-                diff = q[x_].astype(np.float64) - q[y_]
-                by = np.add.reduceat(diff * diff, [p[0] for p in parts], axis=1)
-                ok = (by[:, :k] > limits[:k]).all(axis=1) & (by[:, k] <= limits[k])
-                yield x_[ok], y_[ok], by[ok].sum(axis=1)
-
-
-def _compare(key, table: pa.Table, parts, limits, budget: float, slack: float) -> pa.Table:
-    """What the rows of one cell have in common: (a, b, n). n > 0: vector a has n near ones here; n = 0: ids a and b are near, only
-    as many such pairs as connect what is near; n = -1: vectors a and b are so close to the limit that the whole ones must tell."""
-    k, _, one, two = (x.as_py() for x in key)
-    q = bytes_as_rows(table["q"], np.int16, parts[-1][1])
-    home, node, rep, part = (table[c].to_numpy() for c in ("home", "node", "rep", "part"))
-    first = np.flatnonzero(part == one)
-    links, forest, unsure = np.zeros(len(node), np.int64), np.arange(len(node)), []
-    for i, j, d in _pairs(q, home, first, first if one == two else np.flatnonzero(part == two), k, parts, limits):
+    left, right = ((z[:, :prefix] / SCALE).astype(np.float32) for z in (x, y))
+    left = np.concatenate([left, (left * left).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)], axis=1)
+    right = np.ascontiguousarray(np.concatenate([-2 * right, np.ones((len(y), 1), np.float32), (right * right).sum(axis=1, keepdims=True)], axis=1).T)
+    margin = np.float32(limit / SCALE**2 + 1e-5)
+    for at in range(0, len(x), 256):
+        for to in range(at if x is y else 0, len(y), 2048):
+            some = left[at : at + 256] @ right[:, to : to + 2048]
+            i, j = np.divmod(np.flatnonzero(some <= margin), some.shape[1])
+            i, j = at + i, to + j
+            if x is y:
+                i, j = i[i < j], j[i < j]
+            for lo in range(0, len(i), 1 << 14):
+                i_, j_ = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+                diff = x[i_].astype(np.float64) - y[j_]
+                d = np.einsum("ij,ij->i", diff, diff)
+                yield i_[d <= limit], j_[d <= limit], d[d <= limit]
+
+
+def _compare(one: tuple, two: tuple, prefix: int, limit: float, budget: float, slack: float) -> pa.RecordBatch:
+    """What two tiles (node, rep, q), or one with itself, have in common: (a, b, n). n > 0: vector a has n near ones here; n = 0: ids
+    a and b are near, only as many such pairs as connect what is near; n = -1: vectors a and b are so close to the limit that the
+    whole ones must tell."""
+    begin = 0 if one is two else len(one[0])
+    node, rep = one[:2] if one is two else (np.concatenate(c) for c in zip(one[:2], two[:2]))
+    links, forest, unsure = np.zeros(len(node), np.int64), np.arange(len(node)), [np.zeros((2, 0), np.int64)]
+    for i, j, d in _pairs(one[2], two[2], prefix, limit):
+        j = begin + j
         far = np.sqrt(d) / SCALE
         near, edge = far + slack <= np.sqrt(budget), far - slack <= np.sqrt(budget)
-        links += np.bincount(np.concatenate([i[near], j[near]]), minlength=len(node))
         unsure.append(np.stack([node[i[edge & ~near]], node[j[edge & ~near]]]))
         if near.any():
+            links += np.bincount(np.concatenate([i[near], j[near]]), minlength=len(node))
             nodes, roots = _union_find(np.concatenate([forest[i[near]], i[near]]), np.concatenate([i[near], j[near]]))
             forest[nodes] = roots
-    some, apart = links > 0, forest != np.arange(len(node))
-    unsure = np.concatenate([np.zeros((2, 0), np.int64), *unsure], axis=1)
-    return pa.table(
-        {
-            "a": np.concatenate([node[some], rep[apart], unsure[0]]), "b": np.concatenate([node[some], rep[forest[apart]], unsure[1]]),
-            "n": np.concatenate([links[some], np.zeros(apart.sum(), np.int64), np.full(unsure.shape[1], -1)]),
-        }
-    )
+    some, apart, unsure = links > 0, forest != np.arange(len(node)), np.concatenate(unsure, axis=1)
+    a, b = np.concatenate([node[some], rep[apart], unsure[0]]), np.concatenate([node[some], rep[forest[apart]], unsure[1]])
+    n = np.concatenate([links[some], np.zeros(apart.sum(), np.int64), np.full(unsure.shape[1], -1)])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
 
-def _near(vectors: DataFrame, dim: int, cosine: float, block: int, grid: int, tmp: Scratch) -> DataFrame | None:
-    """What _compare() finds among vectors (node, rep, v) of length 1 and one dimension, the exact comparisons made."""
+def _tile(path: str, number: int, dim: int) -> tuple:
+    disk, where = fs.FileSystem.from_uri(f"{path}/tile={number}")
+    if disk.get_file_info(where).type == fs.FileType.NotFound:  # no row fell to this part of a leaf
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim), np.int16)
+    t = pq.read_table(where, filesystem=disk, columns=["node", "rep", "q"], partitioning=None)
+    return t["node"].to_numpy(), t["rep"].to_numpy(), bytes_as_rows(t["q"], np.int16, dim)
 
-    def moments(batches):
-        n, s, q = 0, np.zeros(dim), np.zeros((dim, dim))
-        for b in batches:
-            x = _matrix(b["v"], dim)
-            n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "q"])
 
-    n, s, q = 0, np.zeros(dim), np.zeros((dim, dim))
-    for r in vectors.mapInArrow(moments, "n long, s array<double>, q array<double>").toLocalIterator():  # one row a task
-        n, s, q = n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]).reshape(dim, dim)
+def _near(src: DataFrame, n: int, dim: int, cosine: float, block: int, tmp: Scratch) -> DataFrame | None:
+    """What _compare() finds among the n different vectors of src (id, node, second, v), all of one dimension, the exact comparisons
+    made. A pair is first compared by as many blocks as set vectors at random sqrt(APART) times as far apart as the limit."""
     if n < 2:
         return None
-    covariance = q / n - np.outer(s / n, s / n)
+    sample = src.where(F.pmod("second", F.lit(max(1, n * dim // MODEL))) == 0).dropDuplicates(["node", "second"]).select("node", "v").toArrow().sort_by("node")
+    sample = _units(sample["v"].combine_chunks(), dim)
+    covariance = np.cov(sample.T, bias=True) if len(sample) > 1 else np.eye(dim)
     axes = rotation(dim, covariance)
     budget = 2 - 2 * cosine + 1e-9
-    parts = shares(np.maximum(np.diag(axes.T @ covariance @ axes), 0), block)
-    radius = np.sqrt(budget * np.array([share for _, _, share in parts])) + 1e-3  # of numbers rounded to 1 / SCALE
-    limits, reach = np.floor((radius * SCALE) ** 2), radius + 1e-3
-    slack = 1.01 * np.sqrt(dim) / SCALE + 1e-6
-
-    def cells(batches):
+    slack = 1.01 * np.sqrt(dim) / SCALE + 1e-6  # of numbers rounded to 1 / SCALE
+    limit = np.ceil(((np.sqrt(budget) + slack) * SCALE) ** 2)
+    variance = np.maximum(np.diag(axes.T @ covariance @ axes), 0)
+    parts = shares(variance, block)
+    held = np.cumsum([share for _, _, share in parts]) * 2 * variance.sum()
+    prefix = parts[min(np.searchsorted(held, APART * budget), len(parts) - 1)][1]
+    tree = _tree(_rounded(sample @ axes), max(0, (n - 1) // SPLIT).bit_length())
+
+    def placed(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                x = _matrix(part["v"], dim) @ axes
-                q = rows_as_bytes(np.rint(x * SCALE).astype(np.int16))
-                for k, (lo, hi, _) in enumerate(parts):
-                    y = x[:, lo : min(lo + grid, hi)] / (2 * reach[k])
-                    cell = np.floor(y).astype(np.int64)
-                    side = np.where(y - cell < 0.5, -1, 1)  # the neighbour that is within reach
-                    for step in itertools.product((0, 1), repeat=y.shape[1]):
-                        move = side * np.array(step)
-                        after = np.zeros(len(y), bool)  # a guest of cells that come later: each pair of cells meets in one of them
-                        for axis in range(y.shape[1] - 1, -1, -1):
-                            after = np.where(move[:, axis] == 0, after, move[:, axis] > 0)
-                        rows = np.flatnonzero(after) if any(step) else np.arange(len(y))
-                        names = ((cell + move)[rows] + 32_768) << (16 * np.arange(y.shape[1]))
-                        take = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), k, np.int32)), pa.array(names.sum(axis=1)), pa.array(np.full(len(rows), not any(step))), part["node"].take(take), part["rep"].take(take), q.take(take)],
-                            ["k", "cell", "home", "node", "rep", "q"],
-                        )
-
-    placed = vectors.mapInArrow(cells, "k int, cell long, home boolean, node long, rep long, q binary")
-    sizes = tmp.written(vectors.mapInArrow(lambda it: (b.drop_columns(["home", "node", "rep", "q"]) for b in cells(it)), "k int, cell long").groupBy("k", "cell").count().where(F.col("count") > SPLIT), "large")
-    if sizes.isEmpty():
-        placed = placed.withColumns({"part": F.lit(0), "one": F.lit(0), "two": F.lit(0)})
-    else:  # each part of a large cell meets each other in a task of its own
-        several = F.coalesce(F.ceil(F.col("count") / SPLIT), F.lit(1)).cast("int")
-        placed = placed.join(sizes, ["k", "cell"], "left").withColumn("parts", several).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")})
-    placed = placed.select("k", "cell", "one", "two", "home", "node", "rep", "part", "q")
-    found = tmp.written(placed.groupBy("k", "cell", "one", "two").applyInArrow(lambda key, table: _compare(key, table, parts, limits, budget, slack), "a long, b long, n long"), "found")
+            for part in (b.slice(at, 2000) for at in range(0, b.num_rows, 2000)):
+                q = _rounded(_units(part["v"], dim) @ axes)
+                yield pa.RecordBatch.from_arrays([part["id"], part["node"], part["second"], pa.array(_leaf(q, *tree).astype(np.int32)), rows_as_bytes(q)], ["id", "node", "second", "leaf", "q"])
+
+    rows = src.select("id", "node", "second", "v").mapInArrow(placed, "id long, node long, second int, leaf int, q binary")
+    rows = tmp.written(rows.groupBy("node", "second").agg(F.min("id").alias("rep"), F.first("leaf").alias("leaf"), F.first("q").alias("q")), "rows")
+    leaves = sorted(map(tuple, rows.groupBy("leaf").count().collect()))
+    several = np.array([-(-count // SPLIT) for _, count in leaves])  # tiles of a leaf
+    begin = np.cumsum(several) - several
+    names = src.sparkSession.createDataFrame([(leaf, int(k), int(at)) for (leaf, _), k, at in zip(leaves, several, begin)], "leaf int, several int, begin int")
+    tiled = rows.join(F.broadcast(names), "leaf").select((F.col("begin") + F.pmod("node", "several")).cast("int").alias("tile"), "node", "rep", "q")
+    path = tmp.folder(tiled.repartition("tile"), "tiles", "tile")
+    tmp.drop(rows)
+    tiles = int(several.sum())
+    lo, hi = (x[np.repeat([leaf for leaf, _ in leaves], several)] for x in _boxes(*tree))
+    # tile i meets those up to half the way round after it, and itself; a unit is one tile and `step` of these
+    step = max(1, tiles // 64)
+    units = -(-(tiles // 2 + 1) // step)
+
+    def meet(batches):
+        own = (-1, None)
+        for b in batches:
+            for i, k in zip(*(x.tolist() for x in np.divmod(b["id"].to_numpy(), units))):
+                away = np.arange(k * step, min((k + 1) * step, tiles // 2 + 1))
+                away = away[(2 * away < tiles) | (i < tiles // 2)]  # what is half the way round meets once
+                others = (i + away) % tiles
+                gap = np.maximum(np.maximum(lo[i] - hi[others], lo[others] - hi[i]), 0).astype(np.float64)
+                for j in others[(gap * gap).sum(axis=1) <= limit].tolist():
+                    if own[0] != i:
+                        own = (i, _tile(path, i, dim))
+                    found = _compare(own[1], own[1] if i == j else _tile(path, j, dim), prefix, limit, budget, slack)
+                    if found.num_rows:
+                        yield found
+
+    found = src.sparkSession.range(0, tiles * units, 1, min(tiles * units, 1024)).mapInArrow(meet, "a long, b long, n long")
+    found = tmp.written(found, "found")
+    tmp.drop(path)
+    told, unsure = found.where("n >= 0"), found.where("n = -1").select("a", "b")
+    if unsure.isEmpty():
+        return told
+    whole = src.join(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node", "second").agg(F.min("id").alias("rep"), F.first("v").alias("v"))
+
+    def scaled(batches):
+        for b in batches:
+            v = _units(b["v"], dim)
+            yield pa.RecordBatch.from_arrays([b["node"], b["rep"], pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32)), pa.array(v.ravel()))], ["node", "rep", "v"])
+
+    whole = tmp.written(whole.select("node", "rep", "v").mapInArrow(scaled, "node long, rep long, v array<double>"), "whole")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    left, right = (vectors.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    exact = tmp.written(found.where("n = -1").select("a", "b").join(left, "a").join(right, "b").where(dot >= cosine).select("a", "b", "ra", "rb"), "exact")
+    left, right = (whole.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    exact = tmp.written(unsure.join(left, "a").join(right, "b").where(dot >= cosine).select("a", "b", "ra", "rb"), "exact")
+    tmp.drop(whole)
     one = F.lit(1).cast("long")
-    return found.where("n >= 0").union(exact.select("a", "a", one)).union(exact.select("b", "b", one)).union(exact.select("ra", "rb", F.lit(0).cast("long")))
+    return told.union(exact.select("a", "a", one)).union(exact.select("b", "b", one)).union(exact.select("ra", "rb", F.lit(0).cast("long")))
 
 
-def near_classes(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, grid: int = GRID, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_classes(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, class_id, class_size, n_links, n_copies), one row for each id: its class of near-duplicates, told by its least id,
     how many different vectors are near to its own (a cosine of at least `cosine`), and how many other ids have an equal vector.
     Ids without any are a class of their own. Equal vectors are joined as one, and no pairs are listed, so that groups of
     thousands cost their comparisons alone, while every link between different vectors counts.
 
-    cosine >= c means squared distance <= 2 - 2c of vectors of length 1. Rotated vectors are cut into blocks, each of which gets its
-    share of the squared distance in proportion to its variance: if the whole is within the budget, one block at least is within
-    its own. For each block a range join on a grid over its first axes brings together what may be within the block's budget; a
-    pair is told in the first block where it is, by 16-bit numbers of the whole vectors, and by the whole ones where these can't
-    tell. Cells of more than SPLIT rows are compared part by part, each pair of parts in a task of its own.
+    cosine >= c means squared distance <= 2 - 2c of vectors of length 1. Vectors are rotated, rounded to 16 bits and written once, in
+    tiles of some SPLIT rows: leaves of a tree over the principal axes, those of more rows in parts. Tasks read pairs of tiles
+    from the shared folder, those whose boxes are within the distance, so that no vector is shuffled more than twice, at any
+    size; what is compared grows with the square of the rows, less what the boxes spare. A pair is told by the strongest blocks
+    of axes, which hold less than the whole distance, then by all numbers, and by the whole vectors where 16 bits can't tell.
 
     Null vectors and ids, vectors of length 0, with nulls, NaN or infinite numbers are left out. Vectors are compared with those of
     their dimension. Repeated rows of one id and vector are one; an id with several vectors has the links and copies of each, and
     is in one class with all of them; an empty table gives no rows; other columns aren't looked at.
     """
-    src = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "float" if dict(table.dtypes)[vector] == "array<float>" else "double"
+    src = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     src = src.where("id is not null and v is not null and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     # two hashes stand for a vector; adding 0 makes -0 and 0 one
-    src = src.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumns({"node": F.xxhash64("v"), "second": F.hash("v")})
+    src = src.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind))).withColumns({"node": F.xxhash64("v"), "second": F.hash("v")})
     with Scratch(table.sparkSession) as tmp:
-        own = tmp.written(src.select("id", "node", "second").distinct(), "own")
+        own = tmp.written(src.select("id", "node", "second", F.size("v").alias("d")).distinct(), "own")
         firsts = own.groupBy("node", "second").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         whose = tmp.written(own.join(firsts, ["node", "second"]).select("id", "node", "rep", (F.col("copies") - 1).alias("copies")), "whose")
-        scale = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        units = src.groupBy("node", "second").agg(F.min("id").alias("rep"), F.first("v").alias("v")).select("node", "rep", F.transform("v", lambda x: x / scale).alias("v"))
-        units = tmp.written(units, "units")
-        found = [_near(units.where(F.size("v") == r["d"]), r["d"], cosine, block, grid, tmp) for r in units.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+        sizes = own.groupBy("d").agg(F.countDistinct("node", "second").alias("n")).orderBy("d").collect()
+        found = [_near(src.where(F.size("v") == r["d"]), r["n"], r["d"], cosine, block, tmp) for r in sizes]
         edges, links = whose.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), None
         for f in found:
             if f is not None:

@@ -219,6 +219,25 @@ def test_classes_equal_brute_force(spark, monkeypatch, split):
     assert got == want and sum(w[2] for w in want.values()) > 2000 and max(w[1] for w in want.values()) > 60 and got[403][:3] == (403, 2, 1)
 
 
+def test_no_vector_is_shuffled_many_times(spark, monkeypatch):
+    """At sixteen tiles or more, the shuffles take less than four times the vectors; classes are as by brute force."""
+    monkeypatch.setattr(embedding_join, "SPLIT", 100)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1000, 64)).astype(np.float32)
+    v[900:] = v[0] + rng.normal(scale=0.02, size=(100, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = embedding_join.written(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), "vectors")
+
+    def shuffled():
+        return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = {r.vec_id: (r.class_id, r.class_size, r.n_links, r.n_copies) for r in embedding_join.near_classes(df).collect()}
+    times = (shuffled() - before) / v.nbytes
+    print("shuffled, times the vectors", times)
+    assert got == brute_classes(rows, embedding_join.COSINE) and got[0] == (0, 101, 100, 0) and 0 < times < 4
+
+
 def test_budgets_are_shared_in_proportion_and_sum_to_the_whole():
     parts = embedding_join.shares(np.array([4.0, 2.0, 1.0, 1.0]), 2)
     assert [p[:2] for p in parts] == [(0, 2), (2, 4)] and [p[2] for p in parts] == [0.75, 0.25]
