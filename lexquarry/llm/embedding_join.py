@@ -209,8 +209,8 @@ def near_classes(table: DataFrame, cosine: float = COSINE, block: int = BLOCK, i
 
     cosine >= c means squared distance <= 2 - 2c of vectors of length 1. Vectors are rotated, rounded to 16 bits and written once, in
     tiles of some SPLIT rows: leaves of a tree over the principal axes, those of more rows in parts. Tasks read pairs of tiles
-    from the shared folder, those whose boxes are within the distance, so that no vector is shuffled more than twice, at any
-    size; what is compared grows with the square of the rows, less what the boxes spare. A pair is told by the strongest blocks
+    from the shared folder, those whose boxes are within the distance, so that a vector is shuffled twice at any
+    size, and those near the limit once more; what is compared grows with the square of the rows, less what the boxes spare. A pair is told by the strongest blocks
     of axes, which hold less than the whole distance, then by all numbers, and by the whole vectors where 16 bits can't tell.
 
     Null vectors and ids, vectors of length 0, with nulls, NaN or infinite numbers are left out. Vectors are compared with those of
