@@ -166,3 +166,21 @@ def test_counts_of_a_stream_are_exactly_once(spark, tmp_path):
     with pytest.raises(ValueError):
         maintain.CountState(spark, str(tmp_path / "s"), "corpus 2")
     assert store.read_json(str(tmp_path / "s" / "BINDING")) == "corpus 1"
+
+
+def test_rates_are_those_of_a_window_and_take_more_than_one_task(spark, capsys):
+    rows = [(i, None if i % 11 == 0 else float(i * 7 % 40) / 2, None if i % 5 == 0 else i % 4) for i in range(200)] + [(900, 500.0, None)]
+    df = spark.createDataFrame(rows, "i long, s double, n long").selectExpr("i", "timestamp_micros(cast(s * 1e6 as long) + 1700000000000000) as ts", "n")
+    got = maintain.windowed_rate(df, "ts", "n", 3)
+    t = lambda x: 1_700_000_000 + x
+    first, nothing = min(t(s) for _, s, _ in rows if s is not None), [n for _, s, n in rows if s is None and n is not None]
+    for r in got.collect():
+        s = next(s for i, s, _ in rows if i == r.i)
+        window = nothing if s is None else [n for _, x, n in rows if x is not None and n is not None and s - 3 <= x <= s]
+        every = nothing if s is None else nothing + [n for _, x, n in rows if x is not None and n is not None and x <= s]
+        assert (r.rate, r.average) == (sum(window) / 3 if window else None, sum(every) / (1.0 if s is None else max(t(s) - first, 1.0)))
+    assert got.count() == len(rows) and got.columns == [*df.columns, "rate", "average"]
+    fractions = maintain.windowed_rate(df.withColumn("n", df.n.cast("double")), "ts", "n", 3)
+    assert sorted(map(tuple, fractions.select("i", "rate", "average").collect())) == sorted(map(tuple, got.select("i", "rate", "average").collect()))
+    got.explain()
+    assert "rangeframe" not in capsys.readouterr().out.lower()
