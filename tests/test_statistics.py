@@ -184,3 +184,22 @@ def test_rates_are_those_of_a_window_and_take_more_than_one_task(spark, capsys):
     assert sorted(map(tuple, fractions.select("i", "rate", "average").collect())) == sorted(map(tuple, got.select("i", "rate", "average").collect()))
     got.explain()
     assert "rangeframe" not in capsys.readouterr().out.lower()
+
+
+def test_pairs_of_large_batches_take_little_memory():
+    """Counting a whole batch at once took 8 bytes and more a byte of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [b"ab" * 150_000, b"", b"xyz" * 100_000, b"q"] * 25
+    values = pa.array(words, pa.binary())
+    want = np.zeros(65536, np.int64)
+    for w in words:
+        b = np.frombuffer(w, np.uint8).astype(np.int64)
+        want += np.bincount(b[:-1] * 256 + b[1:], minlength=65536)
+    tracemalloc.start()
+    got = bigrams._counts_of(values)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and most < sum(map(len, words))
