@@ -203,3 +203,18 @@ def test_pairs_of_large_batches_take_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (got == want).all() and most < sum(map(len, words))
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_streamed_texts_lie_in_as_many_files_as_they_are_read_in(spark, data, tmp_path, monkeypatch, parts):
+    """They were brought into four files, each of which one task read and wrote."""
+    from lexquarry import queries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs.repartition(parts).write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    monkeypatch.setattr(queries.store, "fresh_path", lambda s, n: str(tmp_path / n))
+    monkeypatch.setattr(queries, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").repartition(parts))
+    got = queries.QUERIES["stream_bigram_counts"](spark, str(tmp_path / "d"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bigrams.pair_counts(docs, "text").collect()))
+    assert len(list((tmp_path / "stream" / "in").glob("part-*"))) == max(4, parts)
+    assert len(store.folders(str(tmp_path / "stream" / "state"))) == 4
