@@ -41,3 +41,26 @@ def test_keys_that_share_what_is_kept_are_both_found(spark, tmp_path):
     twin = gram ^ 1
     got = rows(ix.look_up([gram, twin]))
     assert {g for g, _, _ in got} == {gram, twin} and sum(g == gram for g, _, _ in got) * 2 == len(got)
+
+
+def test_facts_without_grams_are_those_beside_them(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60")
+    extra = spark.createDataFrame([(1001, "%PDF held"), (1002, "BM" + " long" * 1000), (1003, None), (1004, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(extra)
+    bare, full = scan.scan(docs, None, grams=False), scan.scan(docs, WeightTable.synthetic(), grams=False)
+    told = [c for c in full.columns if c not in ("gram_count", "forced")]
+    assert rows(bare.select(told)) == rows(full.select(told))
+    assert bare.where("gram_count is not null").count() == 0 and full.where("gram_count > 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["byte_histogram", "need_min_len", "summary_facts", "class_flags", "edge_bytes", "need_line_edges", "summary_totals"])
+def test_facts_are_asked_for_without_grams(spark, data, monkeypatch, name):
+    from lexquarry import queries
+
+    asked = []
+    monkeypatch.setattr(queries.scan, "scan", lambda docs, table, *a, **k: asked.append(table) or scan_(docs, table, *a, **k))
+    queries.QUERIES[name](spark, data)
+    assert asked == [None]
+
+
+scan_ = scan.scan
